@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedgeline.llm import sequence_queries
+from sedgeline.llm import sequence_queries, text_queries
 
-_MODULES = [sequence_queries]
+_MODULES = [sequence_queries, text_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
