@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sedgeline.llm.leaks import leaked_items
 from sedgeline.llm.prefix_bpe import encode_corpus
+from sedgeline.llm.spam import list_pages
 
 #: Where the public vocabularies lie; a parameter of the operator.
 TOKENIZERS = "/opt/tokenizers"
@@ -24,7 +25,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(docs, items, "doc_id", "item_id").select("doc_id", "item_id")
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that for the larger part of their words are keywords, links, tags or entries."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/page_label.parquet")
+    return list_pages(docs, labels).select("doc_id")
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 ORACLE_SQL = {
     "p7_found": """
