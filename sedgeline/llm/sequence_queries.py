@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgeline.llm.copies import canonical_classes, formatting_duplicates
+from sedgeline.llm.spans import shared_share, shared_spans
 from sedgeline.llm.topn import top_n_per_group
 
 
@@ -22,13 +23,26 @@ def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("keep_id", F.col("text").alias("letters"), "n_records", F.col("n_copies").alias("num_duplicates"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of each record's letters in runs of 48 that other records have as well."""
+    entries = spark.read.parquet(f"{sf_dir}/fasta_entry.parquet")
+    return shared_spans(entries, "entry_id", "sequence", 48).withColumnRenamed("record_id", "entry_id")
+
+
+def p3_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each record is shared elsewhere."""
+    entries = spark.read.parquet(f"{sf_dir}/fasta_entry.parquet")
+    spans = shared_spans(entries, "entry_id", "sequence", 48)
+    return shared_share(spans, entries, "entry_id", "sequence").select(F.col("record_id").alias("entry_id"), "letters", F.col("shared_letters").cast("long"), "share")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best nodes of every query."""
     hits = spark.read.parquet(f"{sf_dir}/hit.parquet")
     return top_n_per_group(hits, "query", "node", "score", 5).select("query", "node")
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p4_found": p4_found}
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_share": p3_share, "p4_found": p4_found}
 
 _LETTERS = """
     records AS (
@@ -38,6 +52,16 @@ _LETTERS = """
     lettered AS (SELECT * FROM records WHERE letters <> '')
 """
 
+_SHARED = _LETTERS + """,
+    places AS (SELECT entry_id, letters, unnest(range(1, length(letters) - 46)) AS i FROM lettered WHERE length(letters) >= 48),
+    runs AS (SELECT entry_id, i, substr(letters, i, 48) AS run FROM places),
+    common AS (SELECT run FROM runs GROUP BY run HAVING min(entry_id) < max(entry_id)),
+    hits AS (SELECT entry_id, i FROM runs SEMI JOIN common USING (run)),
+    marked AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY entry_id ORDER BY i) <= 48 THEN 0 ELSE 1 END AS opens FROM hits),
+    numbered AS (SELECT *, sum(opens) OVER (PARTITION BY entry_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM marked),
+    spans AS (SELECT entry_id, min(i) - 1 AS span_start, max(i) + 47 AS span_end FROM numbered GROUP BY entry_id, island)
+"""
+
 ORACLE_SQL = {
     "p1_found": f"""
         WITH {_LETTERS}, kept AS (SELECT *, min(entry_id) OVER (PARTITION BY letters) AS keep_id FROM lettered)
@@ -48,6 +72,14 @@ ORACLE_SQL = {
         SELECT min(entry_id) AS keep_id, letters, count(*) AS n_records, CAST(sum(copies) AS BIGINT) AS num_duplicates
         FROM lettered GROUP BY letters
     """,
+    "p3_found": f"""
+        WITH {_SHARED} SELECT entry_id, CAST(span_start AS INT) AS span_start, CAST(span_end AS INT) AS span_end FROM spans
+    """,
+    "p3_share": f"""
+        WITH {_SHARED}, sums AS (SELECT entry_id, sum(span_end - span_start) AS n FROM spans GROUP BY entry_id)
+        SELECT entry_id, CAST(length(letters) AS INT) AS letters, CAST(coalesce(n, 0) AS BIGINT) AS shared_letters, coalesce(n, 0) / length(letters) AS share
+        FROM lettered LEFT JOIN sums USING (entry_id)
+    """,
     "p4_found": """
         WITH best AS (
             SELECT query, node, max(score) AS score FROM hit
