@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgeline.llm.copies import canonical_classes, formatting_duplicates
+from sedgeline.llm.nearpairs import near_duplicates
 from sedgeline.llm.spans import shared_share, shared_spans
 from sedgeline.llm.topn import top_n_per_group
 
@@ -42,7 +43,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n_per_group(hits, "query", "node", "score", 5).select("query", "node")
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_share": p3_share, "p4_found": p4_found}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records whose distinct 8-letter substrings agree to three fifths."""
+    entries = spark.read.parquet(f"{sf_dir}/fasta_entry.parquet")
+    return near_duplicates(entries, "entry_id", "sequence", 8, 0.6).select(F.col("record_a").alias("entry_a"), F.col("record_b").alias("entry_b"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p3_found": p3_found, "p3_share": p3_share, "p4_found": p4_found, "p5_found": p5_found}
 
 _LETTERS = """
     records AS (
@@ -80,6 +87,15 @@ ORACLE_SQL = {
         SELECT entry_id, CAST(length(letters) AS INT) AS letters, CAST(coalesce(n, 0) AS BIGINT) AS shared_letters, coalesce(n, 0) / length(letters) AS share
         FROM lettered LEFT JOIN sums USING (entry_id)
     """,
+    "p5_found": f"""
+        WITH {_LETTERS},
+        grams AS (SELECT DISTINCT entry_id, substr(letters, i, 8) AS gram FROM (SELECT entry_id, letters, unnest(range(1, length(letters) - 6)) AS i FROM lettered WHERE length(letters) >= 8)),
+        sizes AS (SELECT entry_id, count(*) AS n FROM grams GROUP BY entry_id),
+        common AS (SELECT a.entry_id AS a, b.entry_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.gram = b.gram AND a.entry_id < b.entry_id GROUP BY a.entry_id, b.entry_id)
+        SELECT a AS entry_a, b AS entry_b FROM common
+        JOIN sizes x ON x.entry_id = a JOIN sizes y ON y.entry_id = b JOIN lettered p ON p.entry_id = a JOIN lettered q ON q.entry_id = b
+        WHERE common.n / (x.n + y.n - common.n) >= 0.6 AND p.letters <> q.letters
+    """,
     "p4_found": """
         WITH best AS (
             SELECT query, node, max(score) AS score FROM hit
