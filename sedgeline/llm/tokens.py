@@ -100,10 +100,11 @@ def parts(batches: Iterator[pa.RecordBatch], letters_column: int) -> Iterator[pa
 
 
 def repeated_tokens(texts: DataFrame, chosen: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], extra: list[tuple[str, Callable]] = ()) -> DataFrame:
-    """(token, text_id, at, nth) of the tokens that stand in more than one of ``texts`` (text_id, letters).
+    """(token, text_id, at, nth, times) of the tokens that stand in more than one of ``texts`` (text_id, letters).
 
     ``chosen(letters, bounds)`` gives positions and hashes; nth counts a text's tokens from 0. ``extra`` adds int columns
-    whose values, one per token, are given by a function of (letters, bounds, positions, owners).
+    whose values, one per token, are given by a function of (letters, bounds, positions, owners). ``times`` is how often
+    the token occurs in all texts, on at least one row of each token, and 0 on rows that were spread.
 
     One shuffle on the token. A token that repeats within a part of the input is known to repeat without it: of these
     rows one a part goes to the token's place, to tell the others, and the rest are spread at random. So a token that
@@ -131,17 +132,20 @@ def repeated_tokens(texts: DataFrame, chosen: Callable[[np.ndarray, np.ndarray],
             known[order] = several[run]
             lead = np.zeros(len(h), bool)
             lead[order[starts]] = True
+            times = np.zeros(len(h), np.int64)
+            times[order[starts]] = ends - starts + 1
             spread = mixed(h + (np.arange(len(h), dtype=np.uint64) + np.uint64(part.num_rows)) * np.uint64(_BASE))
             place = np.where(known & ~lead, spread, h)
-            columns = [pa.array(place.view(np.int64)), pa.array(known), pa.array(h.view(np.int64)), part.column(0).take(pa.array(owner)), pa.array((at - bounds[owner]).astype(np.int32)), pa.array(nth.astype(np.int32))]
+            columns = [pa.array(place.view(np.int64)), pa.array(known), pa.array(h.view(np.int64)), part.column(0).take(pa.array(owner)), pa.array((at - bounds[owner]).astype(np.int32)), pa.array(nth.astype(np.int32)), pa.array(times)]
             columns += [pa.array(np.asarray(f(data, bounds, at, owner)).astype(np.int32)) for _, f in extra]
             # A known row's token is kept beside its place; other rows' place is the token.
             columns[2] = pa.array(h.view(np.int64), mask=~(known & ~lead))
-            yield from pa.Table.from_arrays(columns, names=["place", "known", "token", "text_id", "at", "nth", *names]).to_batches(max_chunksize=20_000)
+            yield from pa.Table.from_arrays(columns, names=["place", "known", "token", "text_id", "at", "nth", "times", *names]).to_batches(max_chunksize=20_000)
 
     kind = texts.schema["text_id"].dataType
-    schema = T.StructType([T.StructField("place", T.LongType()), T.StructField("known", T.BooleanType()), T.StructField("token", T.LongType()), T.StructField("text_id", kind), T.StructField("at", T.IntegerType()), T.StructField("nth", T.IntegerType()), *[T.StructField(n, T.IntegerType()) for n in names]])
+    schema = T.StructType([T.StructField("place", T.LongType()), T.StructField("known", T.BooleanType()), T.StructField("token", T.LongType()), T.StructField("text_id", kind), T.StructField("at", T.IntegerType()), T.StructField("nth", T.IntegerType()), T.StructField("times", T.LongType()), *[T.StructField(n, T.IntegerType()) for n in names]])
     spread = texts.select("text_id", "letters").mapInArrow(rows, schema)
     place = Window.partitionBy("place")
     told = spread.withColumn("repeats", F.max("known").over(place) | (F.min("text_id").over(place) < F.max("text_id").over(place)))
-    return told.where("repeats").select(F.coalesce("token", "place").alias("token"), "text_id", "at", "nth", *names)
+    told = told.withColumn("times", F.when(F.col("token").isNull(), F.sum("times").over(place)).otherwise(0))
+    return told.where("repeats").select(F.coalesce("token", "place").alias("token"), "text_id", "at", "nth", "times", *names)
