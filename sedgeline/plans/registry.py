@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedgeline.plans import intervals_queries, scalar_queries
+from sedgeline.plans import intervals_queries, relational_queries, scalar_queries
 
-_MODULES = [intervals_queries, scalar_queries]
+_MODULES = [intervals_queries, scalar_queries, relational_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
