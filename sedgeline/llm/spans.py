@@ -52,7 +52,7 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = 48, ca
     window = length - token + 1
     records = RecordTexts(df, id_col, text_col, canonical, least=length)
     texts = records.texts()
-    tokens = repeated_tokens(texts, lambda data, bounds: minimizers(data, bounds, token, window)[:2])
+    tokens = repeated_tokens(texts, lambda data, bounds: minimizers(data, bounds, token, window))
     paths = stored(_paths(stored(tokens.drop("times"), "tokens"), token), "paths")
     many = paths.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > _HOT).select("path")
     kind = df.schema[id_col].dataType

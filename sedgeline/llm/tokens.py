@@ -66,19 +66,19 @@ def sliding(values: np.ndarray, w: int, best: Callable) -> np.ndarray:
     return out
 
 
-def minimizers(data: np.ndarray, bounds: np.ndarray, m: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token positions, their hashes, and the smallest hash of each window (0 where a window would leave its text)."""
+def minimizers(data: np.ndarray, bounds: np.ndarray, m: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Token positions and their hashes."""
     span = w + m - 1
     if len(data) < span:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = np.maximum(gram_hashes(data, m), np.uint64(1))
     lowest = sliding(h, w, np.minimum)
-    for end in bounds[1:-1]:  # windows across two texts
-        lowest[max(0, end - span + 1) : end] = 0
+    across = (bounds[1:-1, None] - np.arange(1, span)).ravel()  # windows that would cross into the next text
+    lowest[across[(across >= 0) & (across < len(lowest))]] = 0
     pad = np.zeros(w - 1, np.uint64)
     highest = sliding(np.concatenate([pad, lowest, pad]), w, np.maximum)
     at = np.flatnonzero(highest == h)
-    return at, h[at], lowest
+    return at, h[at]
 
 
 def parts(batches: Iterator[pa.RecordBatch], letters_column: int) -> Iterator[pa.RecordBatch]:
@@ -121,13 +121,13 @@ def repeated_tokens(texts: DataFrame, chosen: Callable[[np.ndarray, np.ndarray],
             owner = np.searchsorted(bounds, at, side="right") - 1
             first = np.append(True, owner[1:] != owner[:-1])
             nth = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-            order = np.lexsort((owner, h))
+            order = np.argsort(h)
             sh, so = h[order], owner[order]
             new = np.append(True, sh[1:] != sh[:-1])
             run = np.cumsum(new) - 1
             starts = np.flatnonzero(new)
             ends = np.append(starts[1:], len(sh)) - 1
-            several = so[ends] > so[starts]
+            several = np.maximum.reduceat(so, starts) > np.minimum.reduceat(so, starts)
             known = np.empty(len(h), bool)
             known[order] = several[run]
             lead = np.zeros(len(h), bool)
