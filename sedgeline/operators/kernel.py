@@ -102,6 +102,11 @@ class Matrices:
                     self.chain[j] = self.wb[e]
                 else:
                     self.extra.append((int(b.src[e]), j, self.wb[e]))
+        q, j, w = (np.array(c) for c in zip(*self.extra, strict=True)) if self.extra else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        self.extra_from, self.extra_to, self.extra_weight = q, j, w
+        # Stretches whose sites each follow from the one before.
+        cut = np.append(np.append(0, np.flatnonzero(self.chain[1:] == NO) + 1), m)
+        self.stretches = [(int(x), int(y)) for x, y in zip(cut, cut[1:], strict=False) if y - x > 1]
         for i in range(n):
             self._row(i, m)
         self.end = NO
@@ -118,8 +123,8 @@ class Matrices:
             best = self.add(M[p] + 2 * mo.match, self.add(X[p], Y[p]) + mo.match)
             come = np.full(m, NO)
             come[1:] = best[:-1] + self.chain[1:]
-            for q, j, w in self.extra:
-                come[j] = self.add(come[j], best[q] + w)
+            if len(self.extra_to):
+                self.add.at(come, self.extra_to, best[self.extra_from] + self.extra_weight)
             M[i, 1:] = self.add(M[i, 1:], come[1:] + self.wa[e])
             opened = M[p] + mo.match + (0.0 if p == 0 else mo.open)
             X[i] = self.add(X[i], self.add(X[p] + step, self.add(Y[p] + mo.open, opened)))
@@ -141,7 +146,10 @@ class Matrices:
         x = mo.end if i in (0, self.a.n) else mo.extend
         base = self.add(self.X[i] + mo.open, self.M[i] + mo.match + mo.open)
         base[0] = self.add(self.X[i, 0] + mo.open, self.M[i, 0] + mo.match)
-        run = np.maximum.accumulate if not self.total else np.logaddexp.accumulate
+        if not self.total:
+            self._along_best(i, m, x, base)
+            return
+        run = np.logaddexp.accumulate
         at = 1
         for stop in [*self.breaks, m]:
             if stop > at:  # sites at..stop-1 come by plain steps
@@ -156,6 +164,25 @@ class Matrices:
                     Y[i, stop] = self.add(Y[i, stop], self.add(base[q], Y[i, q] + x))
             at = stop + 1
 
+    def _along_best(self, i: int, m: int, x: float, base: np.ndarray) -> None:
+        """As ``_along`` for the best path: running bests along the stretches and steps over other edges, until none betters."""
+        y = np.full(m, NO)
+        y[1:] = np.where(self.chain[1:] > NO, base[:-1], NO)
+        np.maximum.at(y, self.extra_to, base[self.extra_from])
+        at = np.arange(m) * x
+        while True:
+            y -= at
+            for a, b in self.stretches:
+                np.maximum.accumulate(y[a:b], out=y[a:b])
+            y += at
+            if not len(self.extra_to):
+                break
+            over = y[self.extra_from] + x
+            if not (over > y[self.extra_to] + 1e-12).any():
+                break
+            np.maximum.at(y, self.extra_to, over)
+        self.Y[i] = np.maximum(self.Y[i], y)
+
     def _ends(self):
         """(score, matrix, p, q, left edge, right edge) of the ways into both ends."""
         mo = self.model
@@ -260,6 +287,25 @@ def posteriors(a: Graph, b: Graph, model: Model) -> tuple[np.ndarray, float, flo
     return paired, float(f.end), float(back["M"][0, 0])
 
 
+def on_paths(g: Graph) -> np.ndarray:
+    """The sites, both ends included, that some path through the graph leads over."""
+    ahead, behind = (np.zeros(g.n + 2, bool) for _ in range(2))
+    ahead[0] = behind[-1] = True
+    for e in range(len(g.src)):  # sorted by their end
+        ahead[g.dst[e]] |= ahead[g.src[e]]
+    for e in np.argsort(-g.src, kind="stable"):
+        behind[g.src[e]] |= behind[g.dst[e]]
+    return np.flatnonzero(ahead & behind)
+
+
+def compact(g: Graph, sites: np.ndarray) -> tuple[Graph, np.ndarray]:
+    """The graph of these sites alone, and the numbers of its edges in the whole one."""
+    number = np.full(g.n + 2, -1)
+    number[sites] = np.arange(len(sites))
+    edges = np.flatnonzero((number[g.src] >= 0) & (number[g.dst] >= 0))
+    return Graph(g.states[sites[1:-1] - 1], number[g.src[edges]], number[g.dst[edges]], g.weight[edges]), edges
+
+
 @dataclass
 class Rules:
     """How long an edge that alignments don't use stays open, and what its weight becomes."""
@@ -282,17 +328,22 @@ class Aligned:
 def ancestor(a: Graph, b: Graph, t_left: float, t_right: float, model: Model, rules: Rules = Rules(), band=None) -> Aligned:
     """Aligns two graphs and builds their parent's.
 
-    Every site of either child has a place in the parent, also those that the path skips. A parent's state is what the
+    A band holds for the sites that paths lead over. Every site of either child has a place in the parent, also those that the path skips. A parent's state is what the
     paired children's have in common, or else what they may be. Children's edges are inherited: one that the path didn't use
     loses weight the first time, and is dropped after too many unused branches or too long a time, which settles that what it
     led through was an insertion, or that what it skipped was none.
     """
-    found = Matrices(a, b, model, band=band)
+    # Sites that no path leads over any more keep their columns, but take no part.
+    sites_a, sites_b = on_paths(a), on_paths(b)
+    (small_a, edges_a), (small_b, edges_b) = compact(a, sites_a), compact(b, sites_b)
+    found = Matrices(small_a, small_b, model, band=band)
     if not np.isfinite(found.end) and band is not None:
-        found = Matrices(a, b, model)
+        found = Matrices(small_a, small_b, model)
     if not np.isfinite(found.end):
         raise ValueError("the graphs have no path through them")
     steps, used_left, used_right = found.path()
+    steps = [(mat, int(sites_a[i]), int(sites_b[j])) for mat, i, j in steps]
+    used_left, used_right = {int(edges_a[e]) for e in used_left}, {int(edges_b[e]) for e in used_right}
     left, right = [], []
     i0 = j0 = 0
     for mat, i, j in steps:
