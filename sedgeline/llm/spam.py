@@ -162,14 +162,14 @@ def fit_pages(pages: list[tuple[str, bool]], rounds: int = 8) -> PageModel:
         rows, spam = [np.stack(np.meshgrid(*map(range, _BINS), indexing="ij"), -1).reshape(-1, len(_BINS)).astype(np.int8)], [True]
         rounds = 0
     k = len(STATES)
-    weight = [_rule(r) * np.where(np.isin(np.arange(k), _LISTS) & ~s, _DOUBT, 1.0) for r, s in zip(rows, spam, strict=True)]
+    weight = [_rule(r) * np.where(np.isin(np.arange(k), _LISTS) & (not s), _DOUBT, 1.0) for r, s in zip(rows, spam, strict=True)]
     weight = [w / w.sum(1, keepdims=True) for w in weight]
     stay = np.full((k, k), 0.05) + np.eye(k)
     model = _maximised(rows, weight, sum(w[0] for w in weight) + 1, stay * 10, odds)
     for _ in range(rounds):
         weight, starts, moves = [], np.ones(k), stay.copy()
         for r, s in zip(rows, spam, strict=True):
-            gamma, xi = _expected(model, r, np.where(np.isin(np.arange(k), _LISTS) & ~np.bool_(s), np.log(_DOUBT), 0.0))
+            gamma, xi = _expected(model, r, np.where(np.isin(np.arange(k), _LISTS) & (not s), np.log(_DOUBT), 0.0))
             weight.append(gamma)
             starts += gamma[0]
             moves += xi
