@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sedgeline.operators import progressive as op
 from sedgeline.operators import trees as ot
 from sedgeline.operators.alignments import branch_events
-from sedgeline.plans.tables import RECORDS, REFERENCES, anchors, records, references, tree
+from sedgeline.operators.placement import placements
+from sedgeline.plans.tables import RECORDS, REFERENCES, anchors, hits, records, references, tree
 from sedgeline.workspace import stored
 
 QUERIES = {}
@@ -100,3 +101,17 @@ def g07_match_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = op.pairwise(_pairs(spark, d), key="anchor_id")
     n = F.length(F.replace(F.col("row_a"), F.lit("-"), F.lit("")))
     return rows.select("anchor_id", F.round("score", 6).alias("score"), F.round(F.col("aligned") / n, 6).alias("overlap"), F.round(F.col("matched") / F.col("aligned"), 6).alias("identity"))
+
+
+@query(None)
+def r06_placements(spark: SparkSession, d: str) -> DataFrame:
+    """Every query with hits, placed on the leaf it aligns best with."""
+    e = records(spark, d).groupBy("name").agg(F.min("seq").alias("seq"))
+    r = references(spark, d).select("name", "seq")
+    both = e.join(r.select("name"), "name", "left_anti").unionByName(r)
+    found = placements(hits(spark, d), both, _leaf_letters(spark, d))
+    return found.select("query", "node", "reversed", *[F.round(c, 6).alias(c) for c in ("score", "overlap", "identity", "normalised")], "verdict")
+
+
+def _leaf_letters(spark: SparkSession, d: str) -> DataFrame:
+    return ot.leaves(tree(spark, d)).select("node_id", "name").join(references(spark, d).select("name", "seq"), "name").select("name", "seq")
