@@ -23,7 +23,10 @@ def _each(name: str, columns, sql: str, source=records, cte: str = RECORDS, tabl
     ORACLE_SQL[name] = f"WITH {cte} SELECT {key}, {sql} FROM {table}"
 
 
-S = F.col("seq")
+def _seq() -> Column:
+    return F.col("seq")
+
+
 _PAIRS = [(a + b + d, r) for (a, b, d), r in zip(((a, b, d) for a in "TCAG" for b in "TCAG" for d in "TCAG"), fs.STANDARD_CODE, strict=True)]
 _MITO = [(a + b + d, r) for (a, b, d), r in zip(((a, b, d) for a in "TCAG" for b in "TCAG" for d in "TCAG"), fs.MITO_CODE, strict=True)]
 
@@ -42,19 +45,19 @@ def _sql_codons(expr: str, per: str) -> str:
     return f"array_to_string(list_transform(range(0, CAST(ceil(length({expr}) / 3.0) AS INT)), lambda i: {per.replace('{c}', f'substr({expr}, CAST(i AS INT) * 3 + 1, 3)')}), '')"
 
 
-_each("f01_dna_alphabet", lambda: [fs.dna_letters(S).alias("dna"), (fs.dna_letters(S) == S).alias("clean")], "regexp_replace(seq, '[^ACGTRYMKWSBDHVN]', '', 'g') AS dna, regexp_replace(seq, '[^ACGTRYMKWSBDHVN]', '', 'g') = seq AS clean")
-_each("f02_protein_alphabet", lambda: [fs.protein_letters(S).alias("protein")], "regexp_replace(translate(seq, 'U', 'X'), '[^ARNDCQEGHILKMFPSTWYVX]', '', 'g') AS protein")
-_each("f03_rna_to_dna", lambda: [fs.rna_to_dna(S).alias("dna")], "replace(seq, 'U', 'T') AS dna")
+_each("f01_dna_alphabet", lambda: [fs.dna_letters(_seq()).alias("dna"), (fs.dna_letters(_seq()) == _seq()).alias("clean")], "regexp_replace(seq, '[^ACGTRYMKWSBDHVN]', '', 'g') AS dna, regexp_replace(seq, '[^ACGTRYMKWSBDHVN]', '', 'g') = seq AS clean")
+_each("f02_protein_alphabet", lambda: [fs.protein_letters(_seq()).alias("protein")], "regexp_replace(translate(seq, 'U', 'X'), '[^ARNDCQEGHILKMFPSTWYVX]', '', 'g') AS protein")
+_each("f03_rna_to_dna", lambda: [fs.rna_to_dna(_seq()).alias("dna")], "replace(seq, 'U', 'T') AS dna")
 _each("f04_degap", lambda: [fs.degap(F.col("sequence")).alias("ungapped")], "replace(sequence, '-', '') AS ungapped")
-_each("f05_translate", lambda: [fs.translate_codons(S).alias("protein"), fs.known_codons(S).alias("codons")],
+_each("f05_translate", lambda: [fs.translate_codons(_seq()).alias("protein"), fs.known_codons(_seq()).alias("codons")],
       _sql_codons("seq", "coalesce(" + _sql_map([p for p in _PAIRS if p[1] != "*"]) + "[{c}], 'X')") + " AS protein, " + _sql_codons("seq", "CASE WHEN regexp_full_match({c}, '[ACGT][ACGT][ACGT]') THEN {c} ELSE 'NNN' END") + " AS codons")
-_each("f06_mito_translate", lambda: [fs.translate_codons(S, fs.MITO_CODE).alias("protein")], _sql_codons("seq", "coalesce(" + _sql_map([p for p in _MITO if p[1] != "*"]) + "[{c}], 'X')") + " AS protein")
-_each("f07_degenerate_translate", lambda: [fs.translate_degenerate(S).alias("protein")], _sql_codons("seq", "coalesce(" + _sql_map(sorted(fs.degenerate_code().items())) + "[{c}], 'X')") + " AS protein")
-_each("f08_back_translate", lambda: [fs.back_translate(fs.translate_codons(S), S).alias("codons")],
+_each("f06_mito_translate", lambda: [fs.translate_codons(_seq(), fs.MITO_CODE).alias("protein")], _sql_codons("seq", "coalesce(" + _sql_map([p for p in _MITO if p[1] != "*"]) + "[{c}], 'X')") + " AS protein")
+_each("f07_degenerate_translate", lambda: [fs.translate_degenerate(_seq()).alias("protein")], _sql_codons("seq", "coalesce(" + _sql_map(sorted(fs.degenerate_code().items())) + "[{c}], 'X')") + " AS protein")
+_each("f08_back_translate", lambda: [fs.back_translate(fs.translate_codons(_seq()), _seq()).alias("codons")],
       "CASE WHEN length(seq) % 3 = 0 THEN seq ELSE substr(seq, 1, length(seq) - length(seq) % 3) || 'NNN' END AS codons")
-_each("f09_mock_back_translate", lambda: [fs.mock_back_translate(F.regexp_replace(S, "[B-F]", "-")).alias("codons")], "replace(regexp_replace(regexp_replace(seq, '[B-F]', '-', 'g'), '[^-]', 'NNN', 'g'), '-', '---') AS codons")
-_each("f10_reverse_complement", lambda: [fs.reverse_complement(S).alias("rc")], "reverse(translate(seq, 'ACGTRYKMBVDH', 'TGCAYRMKVBHD')) AS rc")
-_each("f12_quality_mask", lambda: [fs.mask_low_quality(S, F.col("quality")).alias("masked")],
+_each("f09_mock_back_translate", lambda: [fs.mock_back_translate(F.regexp_replace(_seq(), "[B-F]", "-")).alias("codons")], "replace(regexp_replace(regexp_replace(seq, '[B-F]', '-', 'g'), '[^-]', 'NNN', 'g'), '-', '---') AS codons")
+_each("f10_reverse_complement", lambda: [fs.reverse_complement(_seq()).alias("rc")], "reverse(translate(seq, 'ACGTRYKMBVDH', 'TGCAYRMKVBHD')) AS rc")
+_each("f12_quality_mask", lambda: [fs.mask_low_quality(_seq(), F.col("quality")).alias("masked")],
       "CASE WHEN quality IS NULL THEN seq ELSE array_to_string(list_transform(range(1, length(seq) + 1), lambda i: CASE WHEN i <= length(quality) AND ascii(substr(quality, CAST(i AS INT), 1)) - 33 < 10 OR i > length(quality) THEN 'n' ELSE substr(seq, CAST(i AS INT), 1) END), '') END AS masked")
 _each("f22_text_utilities", lambda: [F.trim(F.col("comment")).alias("trimmed"), F.lower(F.col("name")).alias("lower"), F.size(F.filter(F.split(F.col("comment"), " +"), lambda t: t != "")).alias("tokens"), F.lpad(F.col("name"), 12, ".").alias("padded"), F.regexp_count("comment", F.lit("=")).alias("signs")],
       "trim(comment, ' ') AS trimmed, lower(name) AS lower, coalesce(len(list_filter(regexp_split_to_array(comment, ' +'), lambda t: t <> '')), NULL) AS tokens, lpad(name, 12, '.') AS padded, len(regexp_extract_all(comment, '=')) AS signs")
