@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgeline.operators import progressive as op
+from sedgeline.operators import ancestors as oc
 from sedgeline.operators import trees as ot
 from sedgeline.operators.alignments import branch_events
+from sedgeline.plans.model_queries import _BITS
 from sedgeline.operators.placement import placements
 from sedgeline.plans.tables import RECORDS, REFERENCES, anchors, hits, records, references, tree
 from sedgeline.workspace import stored
@@ -115,3 +117,33 @@ def r06_placements(spark: SparkSession, d: str) -> DataFrame:
 
 def _leaf_letters(spark: SparkSession, d: str) -> DataFrame:
     return ot.leaves(tree(spark, d)).select("node_id", "name").join(references(spark, d).select("name", "seq"), "name").select("name", "seq")
+
+
+def _fitch_sql(a: str, b: str) -> str:
+    return f"CASE WHEN {a} & {b} > 0 THEN {a} & {b} ELSE {a} | {b} END"
+
+
+_CELLS = f"""{_FAMILIES}, {{bits}}, w AS (SELECT fam, max(length(seq)) AS w FROM members GROUP BY fam),
+    grid AS (SELECT fam, unnest(range(1, w + 1)) AS i FROM w),
+    cells AS (SELECT g.fam, g.i, {', '.join(f"coalesce(b{k}.bits, 0) AS s{k}" for k in range(4))} FROM grid g
+        {' '.join(f"JOIN members m{k} ON m{k}.fam = g.fam AND m{k}.node_id = g.fam * 8 + {4 + k} LEFT JOIN bits b{k} ON b{k}.letter = substr(m{k}.seq, CAST(g.i AS INT), 1)" for k in range(4))}),
+    up AS (SELECT *, {_fitch_sql('s0', 's1')} AS p2, {_fitch_sql('s2', 's3')} AS p3 FROM cells), top AS (SELECT *, {_fitch_sql('p2', 'p3')} AS p1 FROM up),
+    down AS (SELECT fam, i, p1, CASE WHEN p1 & p2 > 0 THEN p1 & p2 ELSE p2 END AS p2, CASE WHEN p1 & p3 > 0 THEN p1 & p3 ELSE p3 END AS p3 FROM top),
+    long AS (SELECT fam * 8 + 1 AS node_id, i, p1 AS b FROM down UNION ALL SELECT fam * 8 + 2, i, p2 FROM down UNION ALL SELECT fam * 8 + 3, i, p3 FROM down)
+    SELECT node_id, string_agg(coalesce(bits.letter, '-'), '' ORDER BY i) AS row FROM long LEFT JOIN bits ON bits.bits = long.b GROUP BY node_id"""
+
+
+@query(_CELLS.format(bits=_BITS))
+def t06_parsimony_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    """Inner nodes of the families' trees by parsimony, over the members side by side from their first letters."""
+    members, nodes = families(spark, d)
+    shape = nodes.withColumn("tree", F.floor(F.col("node_id") / 8).cast("int"))
+    return oc.parsimony_rows(shape, members.withColumnRenamed("seq", "row")).select("node_id", "row")
+
+
+@query(f"{_FAMILIES} SELECT fam, CAST(count(*) AS INT) AS leaves, CAST(2 * count(*) - 1 AS INT) AS nodes, true AS rooted FROM members GROUP BY fam")
+def t04_guide_trees(spark: SparkSession, d: str) -> DataFrame:
+    """A tree for each family; what must hold: all members are leaves, it is binary, and it has one root."""
+    members, _ = families(spark, d)
+    trees = oc.guide_trees(members.withColumn("fam", F.floor(F.col("node_id") / 8).cast("int")), "fam", "node_id", "seq")
+    return trees.groupBy("fam").agg(F.count("name").cast("int").alias("leaves"), F.count("*").cast("int").alias("nodes"), (F.count_if(F.col("parent_id").isNull()) == 1).alias("rooted"))
