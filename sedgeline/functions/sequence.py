@@ -156,3 +156,10 @@ def header_tag(comment: Column, tag: str) -> Column:
 def wrapped(c: Column, width: int) -> Column:
     """Lines of ``width`` characters."""
     return F.regexp_replace(c, f"(.{{{width}}})(?=.)", "$1\n")
+
+
+def xml_escaped(c: Column) -> Column:
+    """Text fit for an XML attribute."""
+    for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(plain), F.lit(escaped))
+    return c

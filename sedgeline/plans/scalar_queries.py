@@ -161,3 +161,29 @@ ORACLE_SQL |= {
         SELECT entry_id, sign * (f + 1) AS frame, CASE WHEN sign = 1 THEN a ELSE n - 1 - b END AS start, CASE WHEN sign = 1 THEN b ELSE n - 1 - a END AS "end", translation FROM found
     """,
 }
+
+
+_each("s07_translate_on_read", lambda: [fs.rna_to_dna(_seq()).alias("dna_sequence"), fs.translate_codons(fs.rna_to_dna(_seq())).alias("sequence")],
+      "replace(seq, 'U', 'T') AS dna_sequence, " + _sql_codons("replace(seq, 'U', 'T')", "coalesce(" + _sql_map([p for p in _PAIRS if p[1] != "*"]) + "[{c}], 'X')") + " AS sequence")
+_each("k10_back_translated_rows", lambda: [fs.back_translate(F.regexp_replace(fs.translate_codons(_seq()), "(.{5})", "$1-"), _seq()).alias("row")],
+      "regexp_replace(CASE WHEN length(seq) % 3 = 0 THEN seq ELSE substr(seq, 1, length(seq) - length(seq) % 3) || 'NNN' END, '(.{15})', '\\1---', 'g') AS row")
+_each("k11_xml_leaves", lambda: [F.concat(F.lit('<leaf id="seq'), F.col("entry_id").cast("string"), F.lit('" name="'), fs.xml_escaped(F.coalesce("name", F.lit(""))), F.lit('">\n  <sequence>\n    '), _seq(), F.lit("\n  </sequence>\n</leaf>")).alias("element")],
+      """'<leaf id="seq' || entry_id || '" name="' || replace(replace(replace(replace(coalesce(name, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '">' || chr(10) || '  <sequence>' || chr(10) || '    ' || seq || chr(10) || '  </sequence>' || chr(10) || '</leaf>' AS element""")
+
+
+def f17_quality_skip_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges at the ends of runs over 2 of records with a quality: one that skips the last site, of weight 0.9, or 0.6 where that site's quality
+    is low; the step through it has the rest; runs of 5 or more may also skip two, of weight 0.02."""
+    rows = records(spark, sf_dir).where("quality is not null")
+    runs = homopolymer_runs(rows, "entry_id", "seq").where("run > 2").join(rows.select("entry_id", "quality"), "entry_id")
+    low = F.expr("last <= length(quality) and ascii(substring(quality, cast(last as int), 1)) - 33 < 10")
+    w = runs.withColumn("w", F.when(low, 0.6).otherwise(0.9))
+    pick = lambda rows_, back, weight: rows_.select("entry_id", (F.col("last") - back).alias("edge_from"), (F.col("last") + 1).alias("edge_to"), F.round(weight, 9).alias("weight"))
+    return pick(w, 1, F.col("w")).unionByName(pick(w, 0, 1 - F.col("w"))).unionByName(pick(w.where("run >= 5"), 2, F.lit(0.02)))
+
+
+QUERIES["f17_quality_skip_edges"] = f17_quality_skip_edges
+ORACLE_SQL["f17_quality_skip_edges"] = f"""
+    WITH {_RUNS}, w AS (SELECT entry_id, last, runs.run AS run, CASE WHEN last <= length(quality) AND ascii(substr(quality, CAST(last AS INT), 1)) - 33 < 10 THEN 0.6::DOUBLE ELSE 0.9::DOUBLE END AS w FROM runs JOIN rec USING (entry_id) WHERE runs.run > 2 AND quality IS NOT NULL)
+    SELECT entry_id, last - 1 AS edge_from, last + 1 AS edge_to, round(w, 9) AS weight FROM w UNION ALL SELECT entry_id, last, last + 1, round(1 - w, 9) FROM w UNION ALL SELECT entry_id, last - 2, last + 1, 0.02::DOUBLE FROM w WHERE run >= 5
+"""
