@@ -319,3 +319,22 @@ def g06_overlap_identity(spark: SparkSession, d: str) -> DataFrame:
     same = F.expr("size(filter(sequence(1, aligned), i -> substring(x, i, 1) = substring(y, i, 1)))")
     m = m.withColumn("matched", same)
     return m.select("anchor_id", "aligned", "matched", F.round(F.col("aligned") / F.length("q"), 9).alias("overlap"), F.round(F.col("matched") / F.col("aligned"), 9).alias("identity"))
+
+
+@query(f"""WITH {_UP}, q AS (SELECT node_id FROM tips WHERE tid IS NULL), r AS (SELECT node_id FROM tips WHERE tid IS NOT NULL),
+    met AS (SELECT a.node_id AS query, b.node_id AS ref, a.distance + b.distance AS distance, a.steps FROM up a JOIN q ON q.node_id = a.node_id JOIN up b ON b.ancestor_id = a.ancestor_id JOIN r ON r.node_id = b.node_id),
+    low AS (SELECT query, ref, distance FROM met QUALIFY row_number() OVER (PARTITION BY query, ref ORDER BY steps) = 1),
+    near AS (SELECT query, ref FROM low QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(distance, 9), ref) = 1),
+    kept AS (SELECT query AS node_id FROM near UNION SELECT ref FROM near),
+    live AS (SELECT DISTINCT ancestor_id AS node_id FROM up JOIN kept USING (node_id)),
+    forks AS (SELECT parent_id AS node_id FROM tree_node JOIN live USING (node_id) WHERE parent_id IS NOT NULL GROUP BY parent_id HAVING count(*) > 1),
+    stay AS (SELECT node_id FROM forks UNION SELECT node_id FROM kept),
+    above AS (SELECT u.node_id, ancestor_id, distance FROM up u JOIN stay s ON s.node_id = u.node_id JOIN stay a ON a.node_id = u.ancestor_id WHERE steps > 0 QUALIFY row_number() OVER (PARTITION BY u.node_id ORDER BY steps) = 1)
+    SELECT node_id, ancestor_id AS parent_id, name, round(distance, 9) AS branch_length FROM stay LEFT JOIN above USING (node_id) JOIN tree_node USING (node_id)""")
+def t10_nearest_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The tree of the leaves without a taxon and of the nearest one with a taxon to each."""
+    t = tree(spark, d)
+    near = j13_nearest_reference(spark, d)
+    ids = near.select(F.col("query").alias("node_id")).union(near.select("ref")).distinct()
+    keep = t.select("node_id", "name").join(ids, "node_id", "left_semi").select("name")
+    return ot.pruned(t, ot.ancestry(t), keep).withColumn("branch_length", F.round("branch_length", 9))
