@@ -48,12 +48,14 @@ def placements(hits: DataFrame, queries: DataFrame, targets: DataFrame, options:
 
     ``queries`` and ``targets`` are (name, seq). The best is the one with the highest normalised score, equals all kept. Overlap is the share
     of the query's letters that are aligned, identity that of the aligned ones that are the same, and normalised the pairs' score over
-    that of the query with itself. The verdict is 'placed' or 'discarded'. Queries or targets without a sequence have no row.
+    that of the query with itself. The verdict is 'placed' or 'discarded'. Queries or targets without a sequence have no row; hits on such
+    targets take none of the places among which a query's targets are chosen.
     """
     q, t = queries.select(F.col("name").alias("query"), F.col("seq").alias("q")), targets.select(F.col("name").alias("node"), F.col("seq").alias("t"))
-    chosen = candidates(hits, options).join(q, "query").join(t, "node")
+    t = t.where("t <> ''")
+    chosen = candidates(hits.join(t.select("node"), "node", "left_semi"), options).join(q, "query").join(t, "node")
     turned = F.coalesce(F.col("q_strand") != F.col("t_strand"), F.lit(False)) & F.col("q_strand").isin("+", "-") & F.col("t_strand").isin("+", "-")
-    pairs = chosen.select("query", "node", turned.alias("reversed"), F.when(turned, reverse_complement(F.col("q"))).otherwise(F.col("q")).alias("q"), "t").where("q <> '' and t <> ''")
+    pairs = chosen.select("query", "node", turned.alias("reversed"), F.when(turned, reverse_complement(F.col("q"))).otherwise(F.col("q")).alias("q"), "t").where("q <> ''")
 
     def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = kernel.model_at(options.distance + 0.001)

@@ -137,6 +137,15 @@ def test_placement(spark):
     assert numbered_placements(spark.createDataFrame([("q", "b"), ("q", "a")], "query string, node string")).orderBy("node").first()["label"] == "q"
 
 
+def test_hits_on_nodes_without_letters_take_no_place(spark):
+    inner = [("q", f"#{k}#", 90 + k, 0, 9, 0, 9, "+", "+") for k in range(12)] + [("q", "empty", 99, 0, 9, 0, 9, "+", "+"), ("q", "null", 99, 0, 9, 0, 9, "+", "+")]
+    leaves = [("q", "b", 50, 0, 9, 0, 9, "+", "+"), ("q", "a", 40, 0, 9, 0, 9, "+", "+"), ("only", "#1#", 40, 0, 9, 0, 9, "+", "+")]
+    hits = spark.createDataFrame(inner + leaves, "query string, node string, score int, q_start int, q_end int, t_start int, t_end int, q_strand string, t_strand string")
+    targets = spark.createDataFrame([("a", "ACGGTTACGA"), ("b", "ACGGTTACGC"), ("empty", ""), ("null", None)], "name string, seq string")
+    queries = spark.createDataFrame([("q", "ACGGTTACGA"), ("only", "ACGGTTACGA")], "name string, seq string")
+    assert [(r["query"], r["node"], r["verdict"]) for r in placements(hits, queries, targets).collect()] == [("q", "a", "placed")]
+
+
 def test_pileup(spark):
     reads = spark.createDataFrame([(1, 0, "ACGGTTACGATTACC"), (1, 1, "ACGGTACGATTACC"), (1, 2, "GGTAATCGTAACCGT"), (1, 3, "CCCCCCCCCCCC"), (2, 0, "AC"), (None, 1, "AC")], "g int, o int, s string")
     rows = {(r["g"], r["o"]): r for r in pileup(reads, "g", "o", "s").collect()}
