@@ -34,6 +34,31 @@ def leaves(tree: DataFrame) -> DataFrame:
     return tree.join(tree.select(F.col("parent_id").alias("node_id")).where("node_id is not null").distinct(), "node_id", "left_anti")
 
 
+def target_candidates(queries: DataFrame, tree: DataFrame, how: str = "tid") -> DataFrame:
+    """(query, tid, target, how): the nodes that each of ``queries`` (query, tid) is held against, by the class of nodes.
+
+    terminal, internal, all: every query with every node of the class. tid: with the nodes of its taxon, and those queries whose taxon
+    no node has with all nodes, which ``how`` tells. Null and empty taxa are none.
+    """
+    nodes = tree.select(F.col("name").alias("target"), "tid")
+    if how == "tid":
+        tagged = nodes.where("tid <> ''")
+        own = queries.join(tagged, "tid").select("query", "tid", "target", F.lit("tid").alias("how"))
+        return own.unionByName(_with_each(queries.join(tagged.select("tid").distinct(), "tid", "left_anti"), nodes, "all"))
+    if how not in ("terminal", "internal", "all"):
+        raise ValueError(f"no class of nodes: {how}")
+    if how != "all":
+        of = leaves(tree)
+        nodes = (of if how == "terminal" else tree.join(of.select("node_id"), "node_id", "left_anti")).select(F.col("name").alias("target"))
+    return _with_each(queries, nodes, how)
+
+
+def _with_each(queries: DataFrame, nodes: DataFrame, how: str) -> DataFrame:
+    """Queries are spread first: their bytes say nothing of the rows that come of them."""
+    places = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return queries.repartition(places).join(F.broadcast(nodes.select("target")), F.lit(True)).select("query", "tid", "target", F.lit(how).alias("how"))
+
+
 def counts_below(tree: DataFrame, pairs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """(node_id, nodes, leaves, weight, depth): of each node's subtree, itself included; ``weights`` (name, weight) of leaves."""
     tips = leaves(tree).select(F.col("node_id"), "name", F.lit(1).alias("leaf"))

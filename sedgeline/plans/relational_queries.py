@@ -186,12 +186,21 @@ def j05_parent_child(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT r.name AS query, t.name AS target, CASE WHEN t.tid IS NULL THEN 'none' ELSE 'tid' END AS how FROM ref_entry r JOIN tree_node t ON r.tid = t.tid AND r.tid <> ''")
 def j08_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Targets of each query by taxon."""
+    """Targets of each reference by taxon."""
     r = references(spark, d).select(F.col("name").alias("query"), "tid").where("tid <> ''")
     t = tree(spark, d).select(F.col("name").alias("target"), "tid")
     return r.join(t, "tid").select("query", "target", F.lit("tid").alias("how"))
 
 
+@query("""WITH q AS (SELECT DISTINCT name AS query, tid FROM fasta_entry WHERE name IS NOT NULL)
+    SELECT query, q.tid, t.name AS target, 'tid' AS how FROM q JOIN tree_node t ON t.tid = q.tid AND q.tid <> ''
+    UNION ALL SELECT query, q.tid, t.name, 'all' FROM q CROSS JOIN tree_node t WHERE q.tid IS NULL OR q.tid NOT IN (SELECT tid FROM tree_node WHERE tid <> '')""")
+def j08_read_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Targets of each read by taxon, all nodes where no node has it."""
+    q = spark.read.parquet(f"{d}/fasta_entry.parquet").select(F.col("name").alias("query"), "tid").where("query is not null").distinct()
+    return ot.target_candidates(q, tree(spark, d))
+
+
 @query("""WITH q AS (SELECT DISTINCT name AS query, tid FROM fasta_entry WHERE name IS NOT NULL), tags AS (SELECT tid, count(*) AS n FROM tree_node WHERE tid IS NOT NULL GROUP BY tid)
     SELECT query, q.tid, coalesce(n, (SELECT count(*) FROM tree_node)) AS targets, n IS NULL AS all_nodes FROM q LEFT JOIN tags USING (tid)""")
 def j09_taxon_targets(spark: SparkSession, d: str) -> DataFrame:

@@ -81,6 +81,23 @@ def test_deep_tree(spark):
     assert len(distances) == 21 and max(distances.values()) == 7.0
 
 
+def test_target_candidates(spark, tmp_path):
+    from sedgeline.plans.registry import queries
+
+    nodes = [(1, None, "#1#", "t1"), (2, 1, "a", "t1"), (3, 1, "#2#", None), (4, 3, "b", ""), (5, 3, "c", "t2")]
+    spark.createDataFrame(nodes, "node_id int, parent_id int, name string, tid string").write.parquet(f"{tmp_path}/tree_node.parquet")
+    reads = [("r1", "t1"), ("r1", "t1"), ("r1", "t2"), ("r2", None), ("r3", ""), ("r4", "T1"), (None, "t1")]
+    spark.createDataFrame(reads, "name string, tid string").write.parquet(f"{tmp_path}/fasta_entry.parquet")
+    names = [n[2] for n in nodes]
+    expected = [("r1", "t1", "#1#", "tid"), ("r1", "t1", "a", "tid"), ("r1", "t2", "c", "tid")] + [(q, t, n, "all") for q, t in (("r2", None), ("r3", ""), ("r4", "T1")) for n in names]
+    assert sorted(map(str, map(tuple, queries()["j08_read_candidates"](spark, str(tmp_path)).collect()))) == sorted(map(str, expected))
+    tree, q = spark.read.parquet(f"{tmp_path}/tree_node.parquet"), spark.createDataFrame([("r1", "t1"), ("r2", None)], "query string, tid string")
+    for how, of in (("terminal", "abc"), ("internal", ["#1#", "#2#"]), ("all", names)):
+        assert sorted((r["query"], r["target"], r["how"]) for r in ot.target_candidates(q, tree, how).collect()) == sorted((x, n, how) for x in ("r1", "r2") for n in of)
+    with pytest.raises(ValueError):
+        ot.target_candidates(q, tree, "none")
+
+
 def test_rows_along_a_tree_in_several_rounds(spark):
     tree, rows = tree_frame(spark, "((((a:0.1,b:0.1):0.1,c:0.1):0.1,d:0.1):0.1,((e:0.1,f:0.1):0.1,g:0.1):0.1);")
     seqs = dict(zip("abcdefg", ["ACGTACGTTT", "ACGTCGTTT", "ACGACGTTT", "ACGTACGTT", "ACGTACGGGGTTT", "ACGTACGGTTT", "CGTACGTTT"], strict=True))
