@@ -34,8 +34,8 @@ RUN, SHORT_RUN, SHORT = 28, 21, 128
 _TINY = 40
 #: Texts of a group; larger groups are split, each part with a union of its own.
 _GROUP = 64
-#: A token in more texts is hot: texts of whose tokens only a small part is hot are found by their others.
-_HOT, _HOT_SHARE = 2000, 0.25
+#: Texts of a token that meet its groups in one place; the texts of hot tokens, which have more, are spread. None is dropped.
+_HOT = 2000
 #: Queries of one group that are compared in one place; more are spread.
 _QUERIES = 5000
 
@@ -101,37 +101,38 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, gram: int = 8, thre
     chooser = _Tokens(gram)
     tokens = repeated_tokens(records.texts(), chooser.chosen, [("grams", chooser.grams)])
     tokens = stored(tokens.select("token", "text_id", "grams", "times"), "tokens")
-    hot = tokens.where(F.col("times") > _HOT).select("token").distinct()
-    if not hot.isEmpty():
-        tokens = _without_hot(tokens, hot)
     # Similar texts have their lowest token in common with a probability that is their similarity.
     near = tokens.select("token", "text_id", "grams", F.min("token").over(Window.partitionBy("text_id")).alias("lowest"))
     near = stored(near, "near")
     heads = near.where("token = lowest").select("text_id", "lowest").distinct()
     crowds = heads.groupBy("lowest").agg(F.count("*").alias("n")).where(F.col("n") > _GROUP)
     group = F.xxhash64("lowest", F.pmod(F.xxhash64("text_id"), F.ceil(F.coalesce("n", F.lit(1)) / _GROUP)))
-    grouped = near.join(crowds, "lowest", "left").select("token", "text_id", "grams", group.alias("group")).repartition("token")
-    matrix = grouped.groupBy("token", "group").agg(F.min("grams").alias("least"), F.max("grams").alias("most"), (F.min("text_id") < F.max("text_id")).alias("several"))
-    # Each pair of texts is met once: by the text whose group has the smaller number. A text alone in its group meets no one there.
-    query = grouped.select("token", F.col("text_id").alias("query"), F.col("group").alias("own"), F.col("grams").alias("q"))
-    slack = 0.98  # for the counts of grams, which rest on hashes
-    fits = (F.col("own") <= F.col("group")) & (F.col("most") >= F.col("q") * threshold * slack) & (F.col("least") * threshold * slack <= F.col("q"))
-    met = fits & ((F.col("own") < F.col("group")) | F.col("several"))
-    open_ = stored(query.join(matrix, "token").where(met).select("query", "group", "own").distinct(), "open")
+    grouped = near.join(crowds, "lowest", "left").select("token", "text_id", "grams", group.alias("group"))
+    hot = tokens.where(F.col("times") > _HOT).groupBy("token").agg(F.ceil(F.max("times") / _HOT).cast("int").alias("places"))
+    if hot.isEmpty():
+        met = _met(grouped.repartition("token"), threshold)
+    else:
+        marked = stored(grouped.join(hot, "token", "left"), "grouped")
+        met = _met(marked.where("places is null").repartition("token"), threshold).unionByName(_met(marked.where("places is not null"), threshold, spread=True))
+    open_ = stored(met.distinct(), "open")
     groups = heads.join(crowds, "lowest", "left").select("text_id", group.alias("group"))
     return _opened(records.records, open_, groups, gram, threshold, df.schema[id_col].dataType), records
 
 
-def _without_hot(tokens: DataFrame, hot: DataFrame) -> DataFrame:
-    """Tokens without the hot ones of those texts of whose tokens at most _HOT_SHARE are hot.
+def _met(grouped: DataFrame, threshold: float, spread: bool = False) -> DataFrame:
+    """(query, group, own) of the texts and the groups with which they have a token in common.
 
-    Two texts that agree to the threshold have most tokens' letters in common, so texts with few hot tokens also share
-    others. Texts that consist of hot tokens for a larger part keep them all.
+    Each pair of texts is met once: by the text whose group has the smaller number. A text alone in its group meets no one there.
+    ``spread`` splits the texts of each token over its ``places``, to which its rows of the matrix are copied.
     """
-    marked = tokens.join(hot.withColumn("hot", F.lit(1)), "token", "left")
-    shares = marked.groupBy("text_id").agg(F.count("hot").alias("hots"), F.count("*").alias("all"))
-    drop = shares.where((F.col("hots") > 0) & (F.col("hots") <= F.col("all") * _HOT_SHARE)).select("text_id", F.lit(1).alias("drop"))
-    return marked.join(drop, "text_id", "left").where("hot is null or drop is null").select("token", "text_id", "grams")
+    matrix = grouped.groupBy("token", "group", *["places"] * spread).agg(F.min("grams").alias("least"), F.max("grams").alias("most"), (F.min("text_id") < F.max("text_id")).alias("several"))
+    query = grouped.select("token", F.col("text_id").alias("query"), F.col("group").alias("own"), F.col("grams").alias("q"), *[F.pmod(F.xxhash64("text_id"), F.col("places")).cast("int").alias("place")] * spread)
+    if spread:
+        matrix = matrix.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1)))
+    slack = 0.98  # for the counts of grams, which rest on hashes
+    fits = (F.col("own") <= F.col("group")) & (F.col("most") >= F.col("q") * threshold * slack) & (F.col("least") * threshold * slack <= F.col("q"))
+    met = fits & ((F.col("own") < F.col("group")) | F.col("several"))
+    return query.join(matrix, ["token", *["place"] * spread]).where(met).select("query", "group", "own")
 
 
 def _opened(texts: DataFrame, open_: DataFrame, groups: DataFrame, gram: int, threshold: float, kind: T.DataType) -> DataFrame:

@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 
 from sedgeline.llm import nearpairs, spans
 from sedgeline.llm.copies import canonical_classes, formatting_duplicates
 from sedgeline.llm.nearpairs import near_duplicates
 from sedgeline.llm.spans import shared_share, shared_spans
+from sedgeline.llm.tokens import minimizers
 from sedgeline.llm.topn import cluster_by_group, skipping, top_n_of_clustered, top_n_per_group
 
 # Further columns whose names the operators use inside.
@@ -129,6 +131,31 @@ def test_near_pairs(spark, monkeypatch, hot, group):
     assert sorted((r["record_a"], r["record_b"]) for r in found.collect()) == brute_pairs(texts_of(rows), 8, 0.6)
 
 
+def test_near_pairs_whose_common_tokens_are_all_hot(spark, monkeypatch):
+    monkeypatch.setattr(nearpairs, "_HOT", 20)
+    rng = random.Random(5)
+    common, rows = dna(rng, 64), []
+    tokens = lambda s: set(minimizers(np.frombuffer(s.encode(), np.uint8), np.array([0, len(s)]), 14, 15)[1].tolist())
+    for i in range(4):
+        x, y, tries = "", "", 0
+        while len(x) < 208:  # one edit in every 26 letters, and no token in common but those of the common stretch
+            tries += 1
+            part = dna(rng, 26)
+            other = {"A": "C", "C": "G", "G": "T", "T": "A"}[part[0]] + part[1:]
+            if tokens(common + x + part) & tokens(common + y + other) <= tokens(common):
+                x, y = x + part, y + other
+            elif tries % 100 == 0:
+                x, y = x[:-26], y[:-26]
+            assert tries < 5_000
+        # Their own letters stand in other, longer records, so that their tokens repeat.
+        rows += [(10 * i, common + x), (10 * i + 1, common + y), (10 * i + 2, dna(rng, 400) + common[-26:] + x), (10 * i + 3, dna(rng, 400) + common[-26:] + y)]
+    rows += [(200 + i, dna(rng, 300) + common) for i in range(30)]
+    found = near_duplicates(frame(spark, rows), "id", "seq")
+    expected = brute_pairs(texts_of(rows), 8, 0.6)
+    assert [(10 * i, 10 * i + 1) for i in range(4)] == [p for p in expected if p[1] == p[0] + 1 and p[0] % 10 == 0]
+    assert sorted((r["record_a"], r["record_b"]) for r in found.collect()) == expected
+
+
 def test_near_pairs_of_tiny_and_repetitive_texts(spark):
     rows = [(1, "ACGTACGTAC"), (2, "ACGTACGTACG"), (3, "A" * 9), (4, "A" * 200), (5, "ACGTTGCA"), (6, "ACGTTGCAA"), (7, "ACGTTGCAAC"), (8, None)]
     found = near_duplicates(frame(spark, rows), "id", "seq")
