@@ -1,8 +1,9 @@
 """Near-duplicate records, by a token-group matrix.
 
-Similar texts are put into groups; the matrix holds the union of each group's tokens. A query text meets the groups with
-which it has tokens in common, a bound on its overlap with the union of a group's letter grams tells which groups may hold
-a partner, and only those are opened and their members compared exactly.
+Similar texts are put into groups; the matrix holds the union of each group's tokens. A query text opens the groups with
+which it has a token in common and whose texts' sizes fit: its letters and the members' are fetched. Only then, with the
+group open, a bound on its overlap with the union of the members' letter grams saves comparisons with groups that hold no
+partner; the rest are compared exactly.
 
 The matrix is kept inverted, as rows (token, group), and its tokens are minimizers (see ``tokens``), because the short
 letter grams that the similarity counts stand in nearly every group of a large collection. What that presumes: two texts
