@@ -128,6 +128,20 @@ def w14_g16_events(spark: SparkSession, d: str) -> DataFrame:
     return oa.branch_events(rows, "node_id", "p", "c")
 
 
+# The same with the shorter row padded to the longer one's width.
+_WHOLE = _BRANCHES.replace("substr(a, 1, least(length(a), length(b)))", "rpad(a, CAST(greatest(length(a), length(b)) AS INT), '-')").replace("substr(b, 1, least(length(a), length(b)))", "rpad(b, CAST(greatest(length(a), length(b)) AS INT), '-')")
+
+
+@query(f"WITH {_WHOLE}, {_run_sql('del', 'p', 'c')}, {_run_sql('ins', 'c', 'p')} SELECT node_id, 'sub' AS kind, site AS first, site AS last, p || ' -> ' || c AS change FROM cells WHERE p <> '-' AND c <> '-' AND p <> c UNION ALL SELECT * FROM del UNION ALL SELECT * FROM ins")
+def w14_g16_whole_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events between the whole rows of sibling leaves, the letters that one has beyond the other's end among them."""
+    t, r = tree(spark, d), references(spark, d).select("name", "seq")
+    side = lambda s, c: t.where(F.col("side") == s).select(F.col("parent_id").alias("node_id"), "name").join(r, "name").select("node_id", F.col("seq").alias(c))
+    both = side("left", "a").join(side("right", "b"), "node_id").withColumn("n", F.greatest(F.length("a"), F.length("b")))
+    rows = both.select("node_id", F.regexp_replace(F.expr("rpad(a, n, '-')"), "(.{5})..", "$1--").alias("p"), F.regexp_replace(F.expr("rpad(b, n, '-')"), "(.{8})...", "$1---").alias("c"))
+    return oa.branch_events(rows, "node_id", "p", "c")
+
+
 _SHARED = f"""WITH {RECORDS}, e AS (SELECT name, min(seq) AS seq FROM rec GROUP BY name), prs AS (SELECT anchor_id, a.seq AS a, b.seq AS b FROM anchor JOIN e a ON a.name = seq_1 JOIN e b ON b.name = seq_2),
     x AS (SELECT anchor_id, p1, substr(a, CAST(p1 AS INT), 12) AS run FROM (SELECT *, unnest(range(1, length(a) - 10)) AS p1 FROM prs)), y AS (SELECT anchor_id, p2, substr(b, CAST(p2 AS INT), 12) AS run FROM (SELECT *, unnest(range(1, length(b) - 10)) AS p2 FROM prs)),
     m AS (SELECT anchor_id, p1, p2, p1 - row_number() OVER (PARTITION BY anchor_id, p1 - p2 ORDER BY p1) AS g FROM x JOIN y USING (anchor_id, run)),

@@ -33,6 +33,7 @@ _INTEGERS = {
     "g05_contig": ["site"],
     "g14_gaps_per_column": ["site"],
     "w14_g16_events": ["first", "last"],
+    "w14_g16_whole_events": ["first", "last"],
     "j10_shared_substrings": ["start_1", "start_2", "length"],
 }
 

@@ -50,6 +50,16 @@ def test_events(spark):
     assert found == [(1, "del", 2, 2), (1, "ins", 3, 4), (1, "sub", 6, 6), (2, "del", 2, 4), (2, "sub", 6, 6), (3, "del", 2, 3)]
 
 
+def test_events_beyond_the_shorter_row(spark, tmp_path):
+    from sedgeline.plans.registry import queries
+
+    nodes = [(1, None, "root", None), (2, 1, "a", "left"), (3, 1, "b", "right")]
+    spark.createDataFrame(nodes, "node_id int, parent_id int, name string, side string").write.parquet(f"{tmp_path}/tree_node.parquet")
+    spark.createDataFrame([("a", "ACG"), ("b", "ACGTT")], "name string, sequence string").write.parquet(f"{tmp_path}/ref_entry.parquet")
+    found = queries()["w14_g16_whole_events"](spark, str(tmp_path)).collect()
+    assert [(r["kind"], r["first"], r["last"]) for r in found] == [("ins", 4, 5)]
+
+
 def tree_frame(spark, text):
     rows = sf.tree_rows(sf.binary(sf.parse_newick(text)))
     return spark.createDataFrame(rows, "node_id int, parent_id int, side string, name string, branch_length double, tid string"), rows
