@@ -172,6 +172,18 @@ def w11_colinear_anchors(spark: SparkSession, d: str) -> DataFrame:
     return an.colinear(anchors(spark, d), ["seq_1", "seq_2"]).select("seq_1", "seq_2").distinct()
 
 
+@query(None)
+def w10_a04_kept_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """The substrings that each pair keeps after the greedy choice of non-overlapping ones."""
+    return an.greedy_non_overlapping(_substrings(spark, d), ["anchor_id"]).select("anchor_id", "start_1", "start_2", "length")
+
+
+@query(None)
+def w11_kept_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """The anchors that each pair keeps after crossing ones are dropped."""
+    return an.colinear(anchors(spark, d), ["seq_1", "seq_2"]).select("anchor_id", "seq_1", "seq_2", "start_1", "start_2", "length", "score")
+
+
 @query(None)
 def a05_consistent_anchors(spark: SparkSession, d: str) -> DataFrame:
     """Each pair's anchors that don't contradict better ones."""

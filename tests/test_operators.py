@@ -148,6 +148,45 @@ def test_anchor_choices(spark):
     assert all(a <= b for a, b in zip(lo, hi)) and lo[0] == 0 and hi[30] == 30 and hi[10] - lo[10] <= 8
 
 
+def test_kept_anchors(spark, tmp_path):
+    from sedgeline.plans.registry import queries
+
+    rng = np.random.default_rng(7)
+    parts = ["".join(rng.choice(list("ACGT"), n)) for n in (14, 20, 16, 30)]
+    seqs = {"x": "A".join(parts), "y": "C".join([parts[3], parts[0], parts[1][:15], parts[1][4:], parts[2]]), "z": parts[1] + parts[1]}
+    spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(seqs.items())], "entry_id long, name string, sequence string").selectExpr("*", "'r' as run", "0L as pos", "'' as comment", "'' as quality", "'' as tid", "1 as num_duplicates").write.parquet(f"{tmp_path}/fasta_entry.parquet")
+    rows = [(k, a, b, int(rng.integers(0, 60)), int(rng.integers(0, 60)), 5, int(rng.integers(0, 4))) for k, (a, b) in enumerate([("x", "y")] * 6 + [("x", "z")] * 5)] + [(20, "x", "y", 0, 0, 5, None)]
+    spark.createDataFrame(rows, "anchor_id long, seq_1 string, seq_2 string, start_1 int, start_2 int, length int, score int").write.parquet(f"{tmp_path}/anchor.parquet")
+    expected = []
+    for k, a, b, *_ in rows:
+        s, t, runs = seqs[a], seqs[b], []
+        for i in range(len(s)):
+            for j in range(len(t)):
+                if i and j and s[i - 1] == t[j - 1]:
+                    continue
+                n = 0
+                while i + n < len(s) and j + n < len(t) and s[i + n] == t[j + n]:
+                    n += 1
+                if n >= 12:
+                    runs.append((-n, i, j))
+        kept = []
+        for n, i, j in sorted(runs):
+            if all((i - n <= p or p + m <= i) and (j - n <= q or q + m <= j) for p, q, m in kept):
+                kept.append((i, j, -n))
+        assert len(kept) < len(runs)
+        expected += [(k, *x) for x in kept]
+    assert sorted(map(tuple, queries()["w10_a04_kept_anchors"](spark, str(tmp_path)).collect())) == sorted(expected)
+    expected = []
+    for pair in (("x", "y"), ("x", "z")):
+        chain = sorted((r for r in rows if r[1:3] == pair and r[6] is not None), key=lambda r: r[3:5])
+        while crossing := [i for i in range(len(chain) - 1) if chain[i + 1][4] < chain[i][4]]:
+            i = crossing[0]
+            del chain[i if chain[i][6] < chain[i + 1][6] else i + 1]
+        expected += chain
+    assert len(expected) < 11
+    assert sorted(map(tuple, queries()["w11_kept_anchors"](spark, str(tmp_path)).collect())) == sorted(expected)
+
+
 def test_band_keeps_the_best_path():
     x, y = "ACGTTGCAACGGTATTACGACGGATCCA", "ACGTTGCACGGTATTACGACGATCCA"
     model = kernel.model_at(0.1)
