@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster. Only where it is unset (tests, a laptop) a
-temporary folder of this machine is used. Tables written here survive the loss of any executor and
-are removed when the JVM ends.
+``spark.checkpoint.dir`` names that folder on a cluster. Only where it is unset and the master is local (tests,
+a laptop) a temporary folder of this machine is used; on a cluster it must be set. Tables written here survive the
+loss of any executor and are removed when the JVM ends.
 """
 
 from __future__ import annotations
@@ -13,17 +13,36 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+#: Bytes of stored input for one part of a shuffle or one file.
+_PART_BYTES = 64 << 20
+_MOST_PARTS = 100_000
+#: What the optimizer takes for the size of an input that it knows nothing of is far above.
+_UNKNOWN = 1 << 60
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; sets a local one only if none is configured."""
+    """The shared folder of this session; sets a local one only if none is configured and the master is local."""
     found = spark.sparkContext.getConf().get(_CONF) or spark.conf.get(_CONF, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{_CONF} must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sedgeline-")
         spark.conf.set(_CONF, found)
     return found.rstrip("/")
 
 
+def parts_for(df: DataFrame, part_bytes: int = _PART_BYTES) -> int:
+    """Parts for ``df``: as many as the size of the files below asks for, and at least as many as the session's shuffles have.
+
+    Inputs whose size isn't known count as nothing.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(s for s in sizes if s < _UNKNOWN)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(-(-size // part_bytes), _MOST_PARTS))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, deleted at JVM exit."""
     root = f"{shared_dir(spark)}/sedgeline"
