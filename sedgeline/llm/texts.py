@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgeline.workspace import new_path
+from sedgeline.workspace import new_path, parts_for
 
 
 class RecordTexts:
@@ -23,13 +23,15 @@ class RecordTexts:
     def __init__(self, df: DataFrame, id_col: str, text_col: str, canonical, least: int = 1) -> None:
         spark: SparkSession = df.sparkSession
         rows = df.select(F.col(id_col).alias("text_id"), canonical(F.col(text_col)).alias("letters")).where(F.col("text_id").isNotNull() & (F.length("letters") >= least))
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = parts_for(df.select(id_col, text_col))
         # The one time that texts are shuffled: each task then writes the file of one bucket.
         records = rows.repartition(buckets, "text_id").groupBy("text_id").agg(F.min("letters").alias("letters"))
         records = records.withColumn("digest", _digest(F.col("letters")))
         name, path = f"record_texts_{uuid.uuid4().hex[:12]}", new_path(spark, "texts")
         records.write.bucketBy(buckets, "text_id").format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
+        # What was read knows its buckets; the catalog needn't keep the name, and leaves the files of such a table alone.
         self.records = spark.table(name)
+        spark.sql(f"DROP TABLE {name}")
         self._classes = self.records.groupBy("digest").agg(F.min("text_id").alias("text_id"), F.max("text_id").alias("last_id"))
 
     def texts(self) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sedgeline.llm import nearpairs, spans
 from sedgeline.llm.copies import canonical_classes, formatting_duplicates
@@ -156,6 +157,68 @@ def test_near_pairs_whose_common_tokens_are_all_hot(spark, monkeypatch):
     assert sorted((r["record_a"], r["record_b"]) for r in found.collect()) == expected
 
 
+def edited(rng, s, n):
+    """``s`` with n substitutions, deletions or insertions, as evenly spread as can be: the shortest common runs."""
+    out, step = list(s), len(s) / n
+    for k in range(n):
+        at = int((k + 0.5) * step)
+        out[at] = rng.choice([rng.choice("ACGT".replace(out[at] or "A", "")), "", out[at] + rng.choice("ACGT")])
+    return "".join(out)
+
+
+@pytest.mark.parametrize("hot", [2000, 3])
+@pytest.mark.parametrize("kind", ["edits", "blocks"])
+def test_recall_of_near_pairs(spark, monkeypatch, hot, kind):
+    """At least nine tenths of the pairs at the threshold, whatever made them; no pair that isn't one."""
+    monkeypatch.setattr(nearpairs, "_HOT", hot)
+    rng, rows = random.Random(6), []
+    common = dna(rng, 60)
+    for i in range(120):
+        s = common + dna(rng, rng.randrange(200, 400))
+        if kind == "edits":
+            t = edited(rng, s, rng.randrange(len(s) // 40, len(s) // 30))
+        else:
+            blocks = [s[k : k + 27] for k in range(0, len(s), 27)]
+            t = "".join(rng.sample(blocks, len(blocks)))
+        rows += [(2 * i, s), (2 * i + 1, t)]
+    expected = set(brute_pairs(texts_of(rows), 8, 0.6))
+    assert len(expected) > 60
+    found = {(r["record_a"], r["record_b"]) for r in near_duplicates(frame(spark, rows), "id", "seq").collect()}
+    print(kind, hot, len(found), len(expected))
+    assert found <= expected and len(found) >= 0.9 * len(expected)
+
+
+def test_unions_rule_out_groups_but_no_pair(spark):
+    """Texts that share a token and little else are met, but not opened."""
+    rng = random.Random(7)
+    common = dna(rng, 40)
+    rows = [(i, dna(rng, 150) + common + dna(rng, 150)) for i in range(80)]
+    rows += [(100, rows[0][1][:-3] + "AAA"), (101, rows[1][1][3:])]
+    found = near_duplicates(frame(spark, rows), "id", "seq")
+    assert sorted((r["record_a"], r["record_b"]) for r in found.collect()) == brute_pairs(texts_of(rows), 8, 0.6)
+    texts = spark.createDataFrame([(i, s, i % 3) for i, s in rows], "text_id long, letters string, group long")
+    b = nearpairs._bitmaps(texts, 8)
+    words = range(nearpairs._WORDS)
+    u = b.groupBy(b["group"].alias("g")).agg(F.min("grams").alias("least"), F.max("grams").alias("most"), *[F.bit_or(f"b{i}").alias(f"u{i}") for i in words])
+    assert b.join(u, b["group"] == u["g"]).where(nearpairs._may_hold(1.0)).count() > 0
+    single = b.select(F.col("text_id").alias("other"), F.col("grams").alias("least"), F.col("grams").alias("most"), *[F.col(f"b{i}").alias(f"u{i}") for i in words])
+    kept = {(r["text_id"], r["other"]) for r in b.join(single).where("text_id < other").where(nearpairs._may_hold(0.6)).collect()}
+    assert set(brute_pairs(texts_of(rows), 8, 0.6)) <= kept and len(kept) < len(rows)
+
+
+def test_near_pairs_of_other_alphabets_and_grams(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh0123") for _ in range(5)) for _ in range(50)]
+    rows = []
+    for i in range(20):
+        w = [rng.choice(words) for _ in range(40)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:20] + ["x"] + w[21:]))]
+    lower = lambda c: F.lower(c)
+    for gram in (3, 8, 11):
+        found = near_duplicates(frame(spark, rows), "id", "seq", gram, 0.6, lower)
+        assert sorted((r["record_a"], r["record_b"]) for r in found.collect()) == brute_pairs(dict(rows), gram, 0.6)
+
+
 def test_near_pairs_of_tiny_and_repetitive_texts(spark):
     rows = [(1, "ACGTACGTAC"), (2, "ACGTACGTACG"), (3, "A" * 9), (4, "A" * 200), (5, "ACGTTGCA"), (6, "ACGTTGCAA"), (7, "ACGTTGCAAC"), (8, None)]
     found = near_duplicates(frame(spark, rows), "id", "seq")
