@@ -252,3 +252,29 @@ def test_top_n_skips(spark):
     stats = skipping(clustered, 3).collect()
     assert sum(r["row_groups"] for r in stats) > 4 * sum(r["read"] for r in stats)
     assert [r["s"] for r in top_n_of_clustered(clustered, 3).orderBy("rank").collect()] == [199_999, 199_998, 199_997]
+
+
+def test_top_n_scan_is_linear(spark, tmp_path):
+    """Ten rows in each of very many groups, and one group of many row groups among them."""
+    import time
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from sedgeline.llm.topn import scan_file
+
+    seconds = []
+    for groups in (25_000, 100_000):
+        g = np.repeat(np.arange(groups), 10)
+        g = np.concatenate([g[: len(g) // 2], np.full(200_000, groups // 2 - 1), g[len(g) // 2 :]])
+        rng = np.random.default_rng(1)
+        t = pa.table({"g": g, "i": rng.integers(0, 1 << 40, len(g)).astype(str), "s": rng.integers(0, 1000, len(g))})
+        pq.write_table(t.sort_by([("g", "ascending"), ("s", "descending"), ("i", "ascending")]), tmp_path / "t", row_group_size=20_000)
+        begun, seen = time.process_time(), []
+        found = pa.concat_tables(scan_file(pq.ParquetFile(tmp_path / "t"), 5, seen))
+        seconds.append(time.process_time() - begun)
+        frame = t.to_pandas().groupby(["g", "i"], as_index=False).s.max().sort_values(["g", "s", "i"], ascending=[True, False, True])
+        assert sorted(zip(*found.to_pydict().values(), strict=True)) == sorted(frame.groupby("g").head(5).itertuples(index=False, name=None))
+        assert pq.ParquetFile(tmp_path / "t").num_row_groups - len(seen) >= 7
+    # 2.7 times the rows, 4 times the small groups.
+    assert seconds[1] < 4.5 * seconds[0]
