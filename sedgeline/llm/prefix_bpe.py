@@ -10,6 +10,7 @@ appended, so appends continue it, and an edit re-encodes only until the pieces f
 from __future__ import annotations
 
 import base64
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Characters after a piece that tell where it ends: two, as in ' before re, or in white space before white space before text.
+_AHEAD = 2
 # Fixed value: the published pattern that splits text before the merges of this family of vocabularies.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -46,8 +49,8 @@ class PieceTable:
 class PrefixEncoder:
     """Encodes text; keeps pieces that it met."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = SPLIT_PATTERN) -> None:
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str = SPLIT_PATTERN, ahead: int = _AHEAD) -> None:
+        self.ranks, self.ahead = ranks, ahead
         self.token = {i: t for t, i in ranks.items()}
         # Endings of tokens, with the token that the ending itself is, if any: a scan backwards stops where none goes on.
         self.endings: dict[bytes, int] = {t[i:]: -1 for t in ranks for i in range(1, len(t))} | ranks
@@ -147,36 +150,32 @@ class PrefixText:
             return self.encoder.extend(old, data[len(old.data) :])
         return self.encoder.extend(PieceTable(), data)
 
-    def append(self, more: str) -> None:
-        """Only the last piece can change; where it grows, its table is continued."""
-        if not more:
-            return
-        self.text += more
-        at = self.starts.pop() if self.starts else 0
-        old = self.tables.pop() if self.tables else None
-        for m in self.encoder.split.finditer(self.text, at):
-            self.starts.append(m.start())
-            self.tables.append(self._table(m.group(), old))
-            old = None
+    def append(self, more: str) -> int:
+        """Only the last pieces can change; where the one that the text goes on in grows, its table is continued."""
+        return self.replace(len(self.text), len(self.text), more) if more else 0
 
     def replace(self, begin: int, end: int, new: str) -> int:
         """Replaces text[begin:end]; gives the number of pieces that were encoded anew."""
-        kept = 0
-        while kept < len(self.starts) and (self.starts[kept + 1] if kept + 1 < len(self.starts) else len(self.text)) < begin:
-            kept += 1
+        # Where a piece ends may depend on as many characters after it as the pattern looks ahead.
+        kept = bisect.bisect_left(self.starts, begin - self.encoder.ahead + 1)
+        while kept and (self.starts[kept] if kept < len(self.starts) else len(self.text)) + self.encoder.ahead > begin:
+            kept -= 1
         shift = len(new) - (end - begin)
-        later = {s + shift: k for k, s in enumerate(self.starts) if s >= end}
+        later = bisect.bisect_left(self.starts, end)
         text = self.text[:begin] + new + self.text[end:]
-        at = self.starts[kept] if kept < len(self.starts) else len(self.text[:begin])
+        at = self.starts[kept] if kept < len(self.starts) else 0
+        old = self.tables[kept] if kept < later else None
         starts, tables, fresh = self.starts[:kept], self.tables[:kept], 0
         for m in self.encoder.split.finditer(text, at):
-            k = later.get(m.start())
-            if k is not None and m.start() >= begin + len(new):
-                starts += [s + shift for s in self.starts[k:]]
-                tables += self.tables[k:]
+            while later < len(self.starts) and self.starts[later] + shift < m.start():
+                later += 1
+            if later < len(self.starts) and self.starts[later] + shift == m.start():
+                starts += [s + shift for s in self.starts[later:]]
+                tables += self.tables[later:]
                 break
             starts.append(m.start())
-            tables.append(self._table(m.group()))
+            tables.append(self._table(m.group(), old))
+            old = None
             fresh += 1
         self.text, self.starts, self.tables = text, starts, tables
         return fresh

@@ -38,6 +38,35 @@ def test_ids(encoder, oracle):
     assert encoder.encode(None) == encoder.encode("") == []
 
 
+@needs_vocabulary
+def test_many_edits(encoder, oracle):
+    """EDITS edits, each against a fresh encoding. Further ones by the environment's number."""
+    rng = random.Random(9)
+    edits = int(os.environ.get("SEDGELINE_EDITS", "100000"))
+    soup = ["'", "r", "e", "l", "v", "s", "t", " ", "  ", "\n", "\n\n", "\t", "b", "1", " a", "!", "\u3000", "é", "the", " cat"]
+    p = PrefixText(encoder)
+    for k in range(edits):
+        text = p.text
+        new = "".join(rng.choice(soup) for _ in range(rng.randrange(4)))
+        if k % 4 == 0:
+            p.append(new)
+            assert p.text == text + new
+        else:
+            i = rng.randrange(len(text) + 1)
+            j = rng.randrange(i, min(len(text), i + 5) + 1)
+            p.replace(i, j, new)
+            assert p.text == text[:i] + new + text[j:]
+        assert p.ids() == oracle.encode_ordinary(p.text), (text, new)
+        if len(p.text) > 40:
+            p = PrefixText(encoder)
+    p = PrefixText(encoder, "\n'\n\nb' \n1")
+    p.replace(4, 8, " a")
+    assert p.ids() == oracle.encode_ordinary(p.text)
+    p = PrefixText(encoder, "'r")
+    p.append("e")
+    assert p.ids() == oracle.encode_ordinary("'re")
+
+
 @needs_vocabulary
 def test_appends_and_edits(encoder, oracle):
     rng = random.Random(2)
