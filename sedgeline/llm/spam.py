@@ -5,30 +5,37 @@ list, tag list or menu (running data such as logs and tables are a second prose
 other through the transitions. A page is flagged when more than half of its words stand in lines that aren't prose.
 
 The model is trained here, by expectation maximisation on rated pages. At most ``MAX_RATED`` rated pages (those with
-the smallest hash of their id) are used, so the fit has the same cost at every size; all pages are labelled.
+the smallest hash of their id) of at most ``MAX_RATED_CHARS`` characters are used, so the fit has the same cost at every
+size; all pages are labelled.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rated pages that the model is fitted on, at most.
-MAX_RATED = 1500
+#: Rated pages that the model is fitted on, at most, and the characters of each; longer ones aren't used for the fit.
+MAX_RATED, MAX_RATED_CHARS = 1500, 50_000
 STATES = ("prose", "data", "links", "tags", "menu")
 _LISTS = (2, 3, 4)
 #: Weight of the list states in a page that raters took for a proper one: raters err, and proper pages have a few such lines.
 _DOUBT = 0.05
 #: Words of one line's stretch.
 _STRETCH = 12
+#: Bytes of text that are labelled at once, at least one page.
+_BATCH_BYTES = 1 << 20
+#: Words that a worker remembers; beyond that they are forgotten.
+_MEMO = 400_000
 
 _URL = re.compile(r"(?:https?://|www\.)", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -55,32 +62,66 @@ def lines_of(text: str) -> list[list[str]]:
 _BINS = (3, 3, 6, 3, 3, 3, 2)
 
 
-def _features(lines: list[list[str]], odds: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-    """A row of small numbers for each line, and each line's number of words."""
-    parts = [[_LETTERS.findall(w.lower()) if not _URL.search(w) else [] for w in line] for line in lines]
-    often = Counter(p for line in parts for ps in line for p in ps)
-    rows = np.zeros((len(lines), len(_BINS)), np.int8)
-    sizes = np.array([len(line) for line in lines])
-    for k, (line, ps) in enumerate(zip(lines, parts, strict=True)):
-        n = len(line)
-        urls = sum(1 for w in line if _URL.search(w))
-        text = "".join(line)
-        marks = sum(text.count(c) for c in "#|<>[]+~") + sum(1 for w in line if w[-1] == ":")
-        plain = [p for q in ps for p in q]
-        score = sum(odds.get(p, 0.0) for p in plain) / (len(plain) + 1)
-        again = sum(1 for p in plain if often[p] >= 3) / len(plain) if plain else 0.0
-        digits = sum(c.isdigit() for c in text) / len(text)
-        low = sum(1 for w in line if w[:1].islower()) / n
-        rows[k] = (
-            0 if not urls else 1 if urls / n < 0.3 else 2,
-            0 if not marks else 1 if marks / n < 0.3 else 2,
-            int(np.searchsorted((-1.0, -0.3, 0.1, 0.6, 1.5), score)),
-            0 if again < 0.4 else 1 if again < 0.8 else 2,
-            0 if digits < 0.03 else 1 if digits < 0.25 else 2,
-            0 if low < 0.4 else 1 if low < 0.85 else 2,
-            int(line[-1][-1] in ".?!" and n >= 5),
-        )
-    return rows, sizes
+class _Words(dict):
+    """Numbers of words, with what a line's features take from each; remembered up to a bound."""
+
+    def __init__(self, odds: dict[str, float]) -> None:
+        self.odds = odds
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.parts: dict[str, int] = {}
+        self.rows: list[tuple] = []
+        self.part_ids, self.part_ends = array('q'), array('q', [0])
+        self._numbers = np.zeros((1024, 7))
+        self._filled = 0
+
+    def numbers(self) -> np.ndarray:
+        """A row for each word met so far. Only words that are new since the last time are converted."""
+        fresh = len(self.rows)
+        if fresh:
+            if self._filled + fresh > len(self._numbers):
+                self._numbers = np.concatenate([self._numbers[: self._filled], np.zeros((self._filled + 2 * fresh, 7))])
+            self._numbers[self._filled : self._filled + fresh] = self.rows
+            self._filled += fresh
+            self.rows = []
+        return self._numbers
+
+    def __missing__(self, word: str) -> int:
+        url = bool(_URL.search(word))
+        parts = [] if url else _LETTERS.findall(word.lower())
+        self.part_ids.extend([self.parts.setdefault(p, len(self.parts)) for p in parts])
+        self.part_ends.append(len(self.part_ids))
+        marks = sum(map(word.count, "#|<>[]+~")) + (word[-1] == ":")
+        self.rows.append((url, marks, sum(self.odds.get(p, 0.0) for p in parts), len(parts), sum(map(str.isdigit, word)), len(word), word[:1].islower()))
+        n = self[word] = self._filled + len(self.rows) - 1
+        return n
+
+
+def _features(pages: list[list[list[str]]], words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lines of all pages: a row of small numbers for each, its number of words, and its page."""
+    if len(words) > _MEMO:
+        words.forget()
+    page = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
+    lines = [line for p in pages for line in p]
+    n = np.array([len(line) for line in lines], np.int64)
+    if not len(lines):
+        return np.zeros((0, len(_BINS)), np.int8), n, page
+    ids = np.array([words[w] for line in lines for w in line])
+    at = np.cumsum(n) - n
+    urls, marks, odds, plain, digits, size, low = np.add.reduceat(words.numbers()[ids], at).T
+    # Words that stand at least three times in their page.
+    ends, part_ids = (np.frombuffer(a, np.int64) if len(a) else np.zeros(0, np.int64) for a in (words.part_ends, words.part_ids))
+    count = ends[ids + 1] - ends[ids]
+    part = part_ids[np.arange(count.sum()) + np.repeat(ends[ids] - (np.cumsum(count) - count), count)]
+    line_of = np.repeat(np.repeat(np.arange(len(n)), n), count)
+    _, which, times = np.unique((page[line_of] << 32) | part, return_inverse=True, return_counts=True)
+    again = np.bincount(line_of, times[which] >= 3, len(n)) / np.maximum(plain, 1)
+    ending = np.array([line[-1][-1] in ".?!" for line in lines]) & (n >= 5)
+    share = lambda x, of: np.where(x > 0, np.where(x / of < 0.3, 1, 2), 0)
+    rows = [share(urls, n), share(marks, n), np.searchsorted((-1.0, -0.3, 0.1, 0.6, 1.5), odds / (plain + 1)), np.digitize(again, (0.4, 0.8)), np.digitize(digits / size, (0.03, 0.25)), np.digitize(low / n, (0.4, 0.85)), ending]
+    return np.stack(rows, 1).astype(np.int8), n, page
 
 
 def _rule(rows: np.ndarray) -> np.ndarray:
@@ -107,34 +148,31 @@ class PageModel:
     def log_emission(self, rows: np.ndarray) -> np.ndarray:
         return sum(e[:, rows[:, f]].T for f, e in enumerate(self.emit))
 
-    def states(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """The most probable states (Viterbi) of many pages at once."""
-        order = np.argsort([-len(p) for p in pages], kind="stable")
-        lengths = np.array([len(pages[i]) for i in order])
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(pages)
-        if not len(lengths) or not lengths[0]:
+    def states(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The most probable states (Viterbi) of the lines of many pages at once, which follow one another in ``rows``.
+
+        Holds a byte for each line and state, whatever the pages' lengths.
+        """
+        out = np.zeros(len(rows), np.int8)
+        order = np.argsort(-lengths, kind="stable")
+        firsts, longest = (np.cumsum(lengths) - lengths)[order], int(lengths.max(initial=0))
+        if not longest:
             return out
-        firsts = np.concatenate([[0], np.cumsum(lengths)])
-        emit = self.log_emission(np.concatenate([pages[i] for i in order]))
-        best = np.zeros((lengths[0], len(order), len(STATES)))
-        back = np.zeros((lengths[0], len(order), len(STATES)), np.int8)
-        for t in range(lengths[0]):
-            live = int(np.searchsorted(-lengths, -t))  # pages with more than t lines
-            e = emit[firsts[:live] + t]
-            if t == 0:
-                best[0, :live] = self.start + e
-            else:
-                through = best[t - 1, :live, :, None] + self.move
-                back[t, :live] = through.argmax(1)
-                best[t, :live] = through.max(1) + e
-        for k, i in enumerate(order):
-            n = lengths[k]
-            path = np.zeros(n, np.int8)
-            if n:
-                path[-1] = best[n - 1, k].argmax()
-                for t in range(n - 1, 0, -1):
-                    path[t - 1] = back[t, k, path[t]]
-            out[i] = path
+        live = np.searchsorted(-lengths[order], -np.arange(longest))  # pages with more than t lines
+        back, below = np.zeros((len(rows), len(STATES)), np.int8), np.cumsum(live) - live
+        best = self.start + self.log_emission(rows[firsts[: live[0]]])
+        last = np.zeros(len(order), np.int8)
+        for t in range(1, longest):
+            last[live[t] : live[t - 1]] = best[live[t] :].argmax(1)
+            through = best[: live[t], :, None] + self.move
+            back[below[t] : below[t] + live[t]] = through.argmax(1)
+            best = through.max(1) + self.log_emission(rows[firsts[: live[t]] + t])
+        last[: len(best)] = best.argmax(1)
+        for t in range(longest - 1, -1, -1):
+            now = slice(0, live[t])
+            out[firsts[now] + t] = last[now]
+            if t:
+                last[now] = back[np.arange(below[t], below[t] + live[t]), last[now]]
         return out
 
 
@@ -143,7 +181,7 @@ def _word_odds(pages: list[tuple[str, bool]]) -> dict[str, float]:
     seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
     for text, spam in pages:
         seen[spam].update(set(_LETTERS.findall(text.lower())))
-    n = {k: sum(1 for _, spam in pages if spam is k) for k in (True, False)}
+    n = {k: sum(1 for _, spam in pages if spam == k) for k in (True, False)}
     if not n[True] or not n[False]:
         return {}
     return {
@@ -156,8 +194,10 @@ def _word_odds(pages: list[tuple[str, bool]]) -> dict[str, float]:
 def fit_pages(pages: list[tuple[str, bool]], rounds: int = 8) -> PageModel:
     """Fits the model to rated texts: (text, whether rated as spam). Without any, it stays where the rules begin."""
     odds = _word_odds(pages)
-    rows = [_features(lines, odds)[0] for text, _ in pages if (lines := lines_of(text))]
-    spam = [s for text, s in pages if lines_of(text)]
+    cut = [(lines, s) for text, s in pages if (lines := lines_of(text))]
+    spam = [s for _, s in cut]
+    every, _, page = _features([lines for lines, _ in cut], _Words(odds))
+    rows = np.split(every, np.flatnonzero(np.diff(page)) + 1) if cut else []
     if not rows:  # no page to learn from: every combination of values, as the rules see it
         rows, spam = [np.stack(np.meshgrid(*map(range, _BINS), indexing="ij"), -1).reshape(-1, len(_BINS)).astype(np.int8)], [True]
         rounds = 0
@@ -212,7 +252,7 @@ def rated_pages(docs: DataFrame, ratings: DataFrame, doc_id: str, text: str, lab
     """Texts of at most MAX_RATED rated pages, and whether they are spam by most of their ratings (a tie is dropped)."""
     votes = ratings.where(F.col(label).isin("spam", "page") & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("d")).agg(F.sum(F.when(F.col(label) == "spam", 1).otherwise(-1)).alias("v")).where("v <> 0")
     some = votes.orderBy(F.xxhash64("d"), "d").limit(MAX_RATED)
-    joined = docs.select(F.col(doc_id).alias("d"), F.col(text).cast("string").alias("t")).join(F.broadcast(some), "d").where("t is not null")
+    joined = docs.select(F.col(doc_id).alias("d"), F.col(text).cast("string").alias("t")).join(F.broadcast(some), "d").where(F.col("t").isNotNull() & (F.length("t") <= MAX_RATED_CHARS))
     return [(r["t"], r["v"] > 0) for r in joined.groupBy("d").agg(F.max("t").alias("t"), F.max("v").alias("v")).orderBy("d").collect()]
 
 
@@ -228,13 +268,17 @@ def page_shares(docs: DataFrame, model: PageModel, doc_id: str, text: str) -> Da
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        words = _Words(m.odds)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                made = [_features(lines, m.odds) if t and (lines := lines_of(t)) else (np.zeros((0, len(_BINS)), np.int8), np.zeros(0, int)) for t in batch.column(1).to_pylist()]
-                counts = np.zeros((len(made), len(STATES)), np.int64)
-                for k, (path, (_, sizes)) in enumerate(zip(m.states([rows for rows, _ in made]), made, strict=True)):
-                    counts[k] = np.bincount(path, sizes, len(STATES)) if len(path) else 0
+            size = np.cumsum(pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy())
+            # At most so many rows and about so many bytes at once; a longer page comes alone.
+            cuts = np.flatnonzero(np.diff(np.append(-1, (size - 1) // _BATCH_BYTES * 2 + (np.arange(len(size)) // 256) % 2))) if len(size) else []
+            for at, end in zip(cuts, [*cuts[1:], len(size)], strict=True):
+                batch = whole.slice(at, end - at)
+                pages = [lines_of(t) if t else [] for t in batch.column(1).to_pylist()]
+                rows, sizes, page = _features(pages, words)
+                path = m.states(rows, np.array([len(p) for p in pages]))
+                counts = np.bincount(page * len(STATES) + path, sizes, len(pages) * len(STATES)).astype(np.int64).reshape(-1, len(STATES))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in (counts.sum(1), counts[:, 2], counts[:, 3], counts[:, 4])]], names=["doc_id", "words", "links", "tags", "menu"])
 
     schema = T.StructType([source.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("words", "links", "tags", "menu")]])

@@ -1,7 +1,10 @@
 import base64
+import itertools
 import os
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from sedgeline.llm import leaks, spam
@@ -152,9 +155,36 @@ def test_model_on_held_out_pages():
     rng = random.Random(6)
     model = fit_pages(made_pages(rng, 60))
     held = made_pages(rng, 30)
-    rows = [spam._features(spam.lines_of(t), model.odds)[0] for t, _ in held]
-    flagged = [(p >= 2).mean() > 0.5 for p in model.states(rows)]
-    assert flagged == [s for _, s in held]
+    rows, _, page = spam._features([spam.lines_of(t) for t, _ in held], spam._Words(model.odds))
+    path = model.states(rows, np.bincount(page))
+    assert [(path[page == k] >= 2).mean() > 0.5 for k in range(30)] == [s for _, s in held]
+
+
+def test_states_are_the_most_probable_ones():
+    """Against all sequences of states, on pages of different lengths, an empty one among them."""
+    rng = np.random.default_rng(1)
+    model = fit_pages(made_pages(random.Random(6), 30))
+    lengths = np.array([3, 0, 5, 1])
+    rows = np.stack([rng.integers(0, b, lengths.sum()) for b in spam._BINS], 1).astype(np.int8)
+    path, e = model.states(rows, lengths), model.log_emission(rows)
+    for k, n in enumerate(lengths):
+        at = int(lengths[:k].sum())
+        score = lambda s: model.start[s[0]] + sum(model.move[x, y] for x, y in zip(s, s[1:])) + sum(e[at + t, x] for t, x in enumerate(s))  # noqa: B023, B905, E731
+        if n:
+            best = max(itertools.product(range(len(spam.STATES)), repeat=int(n)), key=score)
+            assert score(tuple(path[at : at + n])) == pytest.approx(score(best))
+
+
+def test_a_very_long_page_among_short_ones(spark):
+    """Labelling takes memory in proportion to the lines, not to the longest page times the pages beside it."""
+    model = fit_pages(made_pages(random.Random(6), 30))
+    pages = [[["z"]]] * 255 + [[["https://a.example/x", "y"]] * 50_000]
+    rows, sizes, page = spam._features(pages, spam._Words(model.odds))
+    tracemalloc.start()
+    path = model.states(rows, np.bincount(page))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(path) == 50_255 and (path[255:] == 2).all() and peak < 4 << 20
 
 
 def test_pages(spark):
