@@ -178,13 +178,13 @@ def test_states_are_the_most_probable_ones():
 def test_a_very_long_page_among_short_ones(spark):
     """Labelling takes memory in proportion to the lines, not to the longest page times the pages beside it."""
     model = fit_pages(made_pages(random.Random(6), 30))
-    pages = [[["z"]]] * 255 + [[["https://a.example/x", "y"]] * 50_000]
+    pages = [[["z"]]] * 255 + [[["https://a.example/x", "https://a.example/y"]] * 50_000]
     rows, sizes, page = spam._features(pages, spam._Words(model.odds))
     tracemalloc.start()
     path = model.states(rows, np.bincount(page))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert len(path) == 50_255 and (path[255:] == 2).all() and peak < 4 << 20
+    assert len(path) == 50_255 and (path[255:] >= 2).all() and peak < 4 << 20
 
 
 def test_pages(spark):
