@@ -4,7 +4,10 @@ The aggregate's state is a sorted list of disjoint intervals per key. Partial st
 each input partition, without a shuffle; they are then combined by linear merges in a reduction tree
 whose fan-in is fixed, so that no task ever sees more than ``fan_in`` partial lists of a key. The last
 level streams the sorted lists of a key and emits its periods and the complements between them.
-A state travels as rows (key, slot, start, end), so a key with very many periods is never one value.
+A state travels as rows (key, cell, slot, start, end), so a key with very many periods is never one value, nor one
+task's: its line is cut into cells that are merged by themselves, and what touches their borders is stitched at the end.
+Before each merge a task's lists, each of which is sorted already, are put in order by Spark's sorter, whose Timsort
+finds such runs and merges them; the merge itself is one pass.
 """
 
 from __future__ import annotations
@@ -14,12 +17,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sedgeline.workspace import stored
+
 #: Rows of a partition that are merged at once; a compaction follows whenever as many are waiting.
 _CHUNK_ROWS = 1 << 19
+#: Rows of a key, after the first merge, beyond which its line is split, and into how many cells at most.
+_HOT_ROWS, _CELLS = 1 << 20, 256
 
 
 def _islands(new_key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,17 +124,50 @@ def _merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Periods and the gaps between; ``edge`` tells a key's first and last period."""
     before = 0
-    for keys, start, end, leads in _stream(batches):
+    held: tuple | None = None  # the last period, of which isn't known yet whether its key goes on
+
+    def rows(keys: pa.Array, start: np.ndarray, end: np.ndarray, leads: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        nonlocal before
         previous = np.append(before, end[:-1])
         before = int(end[-1])
         gap = np.flatnonzero(~leads)
         both = pa.concat_arrays([keys, keys.take(pa.array(gap))])
         kind = pa.array(["period"] * len(start) + ["gap"] * len(gap), pa.string())
-        yield pa.RecordBatch.from_arrays([both, kind, pa.array(np.append(start, previous[gap])), pa.array(np.append(end, start[gap]))], names=["k", "kind", "s", "e"])
+        edge = pa.array(np.append(leads | ends, np.zeros(len(gap), bool)))
+        return pa.RecordBatch.from_arrays([both, kind, pa.array(np.append(start, previous[gap])), pa.array(np.append(end, start[gap])), edge], names=["k", "kind", "s", "e", "edge"])
+
+    for keys, start, end, leads in _stream(batches):
+        if held is not None:
+            keys, start, end, leads = pa.concat_arrays([held[0], keys]), np.append(held[1], start), np.append(held[2], end), np.append(held[3], leads)
+        if len(start) > 1:
+            yield rows(keys[:-1], start[:-1], end[:-1], leads[:-1], leads[1:])
+        held = keys[-1:], start[-1:], end[-1:], leads[-1:]
+    if held is not None:
+        yield rows(*held, np.array([True]))
 
 
-def covered_periods(df: DataFrame, key: str, start: str, end: str, fan_in: int = 16) -> DataFrame:
+def _cells(partial: DataFrame) -> DataFrame:
+    """(k, split, cell, slot, s, e): intervals with the part of their key's line that they lie in.
+
+    A key with more than _HOT_ROWS rows is split at quantiles of its starts, and intervals are cut where they cross
+    one; cells are merged independently, so that no key is ever one task's. Other keys have one cell.
+    """
+    hot = partial.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > _HOT_ROWS).select("k")
+    fractions = [i / _CELLS for i in range(1, _CELLS)]
+    borders = partial.join(hot, "k", "left_semi").groupBy("k").agg(F.array_sort(F.array_distinct(F.percentile_approx("s", fractions, 10 * _CELLS))).alias("borders"))
+    placed = partial.join(borders, "k", "left")
+    first = F.size(F.filter("borders", lambda b: b <= F.col("s")))
+    last = F.size(F.filter("borders", lambda b: b < F.col("e")))
+    spread = placed.withColumn("first", F.when(F.col("borders").isNull(), 0).otherwise(first)).withColumn("last", F.when(F.col("borders").isNull(), 0).otherwise(last))
+    pieces = spread.withColumn("cell", F.explode(F.sequence("first", "last")))
+    start = F.when(F.col("cell") == F.col("first"), F.col("s")).otherwise(F.expr("try_element_at(borders, cell)"))
+    end = F.when(F.col("cell") == F.col("last"), F.col("e")).otherwise(F.expr("try_element_at(borders, cell + 1)"))
+    return pieces.select("k", F.col("borders").isNotNull().alias("split"), "cell", "slot", start.alias("s"), end.alias("e"))
+
+
+def covered_periods(df: DataFrame, key: str, start: str, end: str, fan_in: int = 8) -> DataFrame:
     """Periods covered by the intervals of each key, and the gaps between neighbouring periods.
 
     Returns (``key``, kind string, seg_start, seg_end) with the types of ``key`` and long coordinates; kind is
@@ -143,24 +183,39 @@ def covered_periods(df: DataFrame, key: str, start: str, end: str, fan_in: int =
     rows = rows.where("k is not null and s is not null and e is not null and s < e")
     state = T.StructType([T.StructField("k", kind), T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])
     slots = rows.rdd.getNumPartitions()
-    lists = rows.mapInArrow(_partial, state)
-    if slots > fan_in:
-        lists = lists.withColumn("slot", F.spark_partition_id())
-        while slots > fan_in:
-            slots = -(-slots // fan_in)
-            lists = lists.withColumn("slot", F.pmod("slot", F.lit(slots))).repartition("k", "slot").sortWithinPartitions("slot", "k", "s")
-            lists = _level(lists, kind)
-    final = lists.select("k", "s", "e").repartition("k").sortWithinPartitions("k", "s")
-    out = T.StructType([T.StructField("k", kind), T.StructField("kind", T.StringType()), T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])
-    return final.mapInArrow(_emit, out).select(F.col("k").alias(key), "kind", F.col("s").alias("seg_start"), F.col("e").alias("seg_end"))
-
-
-def _level(lists: DataFrame, kind: T.DataType) -> DataFrame:
-    """One level of the tree: merges the lists of each (slot, key)."""
-    pair = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("k", kind)])
-    packed = lists.select(F.struct("slot", "k").alias("k"), "s", "e")
-    state = T.StructType([T.StructField("k", pair), T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])
-    return packed.mapInArrow(_merge_rows, state).select("k.slot", "k.k", "s", "e")
+    partial = stored(rows.mapInArrow(_partial, state).withColumn("slot", F.spark_partition_id()), "intervals")
+    place = T.StructType([T.StructField("k", kind), T.StructField("split", T.BooleanType()), T.StructField("cell", T.IntegerType()), T.StructField("slot", T.IntegerType())])
+    ends = [T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]
+    lists = _cells(partial)
+    while slots > fan_in:
+        slots = -(-slots // fan_in)
+        level = lists.withColumn("slot", F.pmod("slot", F.lit(slots))).repartition("k", "cell", "slot").sortWithinPartitions("k", "cell", "slot", "s")
+        merged = level.select(F.struct("k", "split", "cell", "slot").alias("k"), "s", "e").mapInArrow(_merge_rows, T.StructType([T.StructField("k", place), *ends]))
+        lists = merged.select("k.k", "k.split", "k.cell", "k.slot", "s", "e")
+    final = lists.repartition("k", "cell").sortWithinPartitions("k", "cell", "s").select(F.struct("k", "split", "cell").alias("k"), "s", "e")
+    out = T.StructType([T.StructField("k", T.StructType(place.fields[:3])), T.StructField("kind", T.StringType()), *ends, T.StructField("edge", T.BooleanType())])
+    found = final.mapInArrow(_emit, out).select("k.k", "k.split", "k.cell", "kind", "s", "e", "edge")
+    if _any_split(partial):
+        found = stored(found, "periods")
+        across = F.col("split") & F.col("edge")
+        found = found.where(~across).select("k", "kind", "s", "e").unionByName(_stitched(found.where(across)))
+    return found.select(F.col("k").alias(key), "kind", F.col("s").alias("seg_start"), F.col("e").alias("seg_end"))
+
+
+def _any_split(partial: DataFrame) -> bool:
+    """Whether any key was split. Without one there is nothing to stitch, and the result is the same either way."""
+    return not partial.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > _HOT_ROWS).isEmpty()
+
+
+def _stitched(edges: DataFrame) -> DataFrame:
+    """Periods that touch across the borders of cells are one, and gaps may lie across borders. Two rows a cell at most."""
+    along = Window.partitionBy("k").orderBy("s")
+    marked = edges.select("k", "cell", "s", "e", F.lag("e").over(along).alias("before"), F.lag("cell").over(along).alias("last_cell"))
+    opens = F.col("before").isNull() | (F.col("s") > F.col("before"))
+    gaps = marked.where((F.col("s") > F.col("before")) & (F.col("cell") != F.col("last_cell"))).select("k", F.lit("gap").alias("kind"), F.col("before").alias("s"), F.col("s").alias("e"))
+    numbered = marked.withColumn("n", F.sum(opens.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    periods = numbered.groupBy("k", "n").agg(F.min("s").alias("s"), F.max("e").alias("e")).select("k", F.lit("period").alias("kind"), "s", "e")
+    return periods.unionByName(gaps)
 
 
 def period_lists(periods: DataFrame, key: str) -> DataFrame:

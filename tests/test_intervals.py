@@ -2,6 +2,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sedgeline.operators import intervals
 from sedgeline.operators.intervals import covered_periods, period_lists
@@ -51,6 +52,30 @@ def test_small_chunks(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_split_keys(spark, monkeypatch):
+    """Hot keys are split into cells: intervals within, across and over many cells, and touching at borders."""
+    monkeypatch.setattr(intervals, "_HOT_ROWS", 200)
+    monkeypatch.setattr(intervals, "_CELLS", 8)
+    rng = random.Random(3)
+    for spread, length in ((40_000, 9), (3_000, 9), (40_000, 4_000)):
+        rows = [(rng.choice("hhhhhhi" + "xyz"[i % 3]), s := rng.randrange(spread), s + rng.randrange(rng.choice([2, 9, length]))) for i in range(3000)]
+        rows += [("h", i, i + 1) for i in range(50_000, 50_300)]
+        assert run(spark, rows, parts=9, fan_in=2) == brute(rows)
+    assert run(spark, [("k", 5, 9)] * 500) == [("k", "period", 5, 9)]
+
+
+def test_a_key_of_very_many_periods(spark):
+    df = spark.range(1_200_000).selectExpr("'k' as key", "id * 3 as s", "id * 3 + 2 as e")
+    found = covered_periods(df, "key", "s", "e")
+    rows = found.groupBy("kind").agg({"*": "count", "seg_start": "sum", "seg_end": "sum"}).collect()
+    n = 1_200_000
+    sums = {r["kind"]: (r["count(1)"], r["sum(seg_start)"], r["sum(seg_end)"]) for r in rows}
+    assert sums == {"period": (n, 3 * n * (n - 1) // 2, 3 * n * (n - 1) // 2 + 2 * n), "gap": (n - 1, 3 * (n - 1) * (n - 2) // 2 + 2 * (n - 1), 3 * n * (n - 1) // 2)}
+    # No task merges more than some cells of the key.
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < n
+
+
 def test_lists(spark):
     df = spark.createDataFrame([(1, 0, 2), (1, 4, 6)], "k int, s int, e int")
     row = period_lists(covered_periods(df, "k", "s", "e"), "k").collect()[0]
