@@ -6,9 +6,13 @@ and last tokens, and those beside tokens that don't repeat, count as having a ne
 there. Nonbranching paths are compacted: all occurrences of a path run through the whole of it, one row for each.
 
 The letters of each occurrence, and those around as far as a span may reach, are then fetched from the source texts by
-their coordinates, and occurrences of the same path are compared letter by letter in windows of the span's length.
-A window of that length has its lowest token in common with any other text that holds it, so none is missed.
-Paths with very many occurrences are compared by an aggregate over windows instead of in one place.
+their coordinates, and the windows of the span's length are compared that stand at the same place of the same path. Their letters
+are compared by 64-bit hashes; as they meet only others at their own place, not all of the collection, two windows that
+differ are taken for equal with a probability of occurrences squared over 2**64. A window has its lowest token in common with
+any other text that holds it, so none is missed. Long paths are compared in blocks, and blocks with very many letters by an
+aggregate over windows instead of in one place.
+
+Records with equal texts are one text in the graph, with a mark that makes every token and window of it a repeated one.
 """
 
 from __future__ import annotations
@@ -29,9 +33,11 @@ from sedgeline.workspace import stored
 
 #: Letters of a token.
 _TOKEN = 16
-#: Occurrences of one path that are compared in one place; more are compared by an aggregate.
-_HOT = 4000
-#: Letters that are compared at once.
+#: Letters of a block: long paths are compared in blocks, by place.
+_BLOCK = 1 << 16
+#: Letters of one block of a path, in all its occurrences, that are compared in one place; more are compared by an aggregate.
+_HOT_LETTERS = 1 << 23
+#: Letters that are compared at once, and the last block's.
 _CHUNK_LETTERS = 1 << 22
 
 
@@ -51,17 +57,19 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = 48, ca
     token = max(1, min(_TOKEN, length // 2))
     window = length - token + 1
     records = RecordTexts(df, id_col, text_col, canonical, least=length)
-    texts = records.texts()
-    tokens = repeated_tokens(texts, lambda data, bounds: minimizers(data, bounds, token, window))
+    tokens = repeated_tokens(records.texts(), lambda data, bounds: minimizers(data, bounds, token, window), copies=True)
     paths = stored(_paths(stored(tokens.drop("times"), "tokens"), token), "paths")
-    many = paths.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > _HOT).select("path")
+    blocks = _blocks(paths, length - token, length)
+    many = blocks.groupBy("path", "block").agg(F.sum(F.col("end") - F.col("at")).alias("n")).where(F.col("n") > _HOT_LETTERS).select("path", "block")
     kind = df.schema[id_col].dataType
-    placed = lambda some: _with_letters(records.records, some, length - token)
-    runs = _compared(placed(paths.join(many, "path", "left_anti")), length, kind).unionByName(_compared_hot(placed(paths.join(many, "path", "left_semi")), length, kind))
-    whole = _whole(records)
-    own = runs.select(F.col("text_id").alias("record_id"), "s", "e")
-    found = covered_periods(own.unionByName(whole), "record_id", "s", "e").where("kind = 'period'")
-    return found.select("record_id", F.col("seg_start").cast("int").alias("span_start"), F.col("seg_end").cast("int").alias("span_end"))
+    cold, hot = (_with_letters(records.records, blocks.join(many, ["path", "block"], how)) for how in ("left_anti", "left_semi"))
+    runs = _compared(cold, length, kind).unionByName(_compared_hot(hot, length, kind))
+    found = covered_periods(runs, "text_id", "s", "e").where("kind = 'period'").select("text_id", "seg_start", "seg_end")
+    # A text's stretches are those of each record that has it.
+    found = stored(found, "spans")
+    others = records.members().where("record_id <> text_id").join(found, "text_id").select("record_id", "seg_start", "seg_end")
+    each = found.withColumnRenamed("text_id", "record_id").unionByName(others)
+    return each.select("record_id", F.col("seg_start").cast("int").alias("span_start"), F.col("seg_end").cast("int").alias("span_end"))
 
 
 def shared_share(spans: DataFrame, df: DataFrame, id_col: str, text_col: str, canonical=letters) -> DataFrame:
@@ -72,14 +80,8 @@ def shared_share(spans: DataFrame, df: DataFrame, id_col: str, text_col: str, ca
     return both.withColumn("share", F.col("shared_letters") / F.col("letters"))
 
 
-def _whole(records: RecordTexts) -> DataFrame:
-    """The whole of each record whose text others have as well."""
-    sizes = records.records.select(F.col("text_id").alias("record_id"), F.length("letters").alias("e"))
-    return records.members().select("record_id").join(sizes, "record_id").select("record_id", F.lit(0).alias("s"), "e")
-
-
 def _paths(tokens: DataFrame, token: int) -> DataFrame:
-    """Occurrences (path, text_id, s, e) of the nonbranching paths of repeated tokens, in letters of the text."""
+    """Occurrences (path, text_id, s, e, copies) of the nonbranching paths of repeated tokens, in letters of the text."""
     along = Window.partitionBy("text_id").orderBy("nth")
     neighbour = lambda f, step: F.when(f("nth").over(along) == F.col("nth") + step, F.xxhash64(f("token").over(along), F.abs(f("at").over(along) - F.col("at"))))
     # An absent neighbour (an end of the text, or a token that doesn't repeat) is one of its own: 0.
@@ -90,34 +92,41 @@ def _paths(tokens: DataFrame, token: int) -> DataFrame:
     goes_on = F.coalesce(F.lag("one_after").over(along) & F.col("one_before") & (F.lag("nth").over(along) == F.col("nth") - 1), F.lit(False))
     run = F.sum(F.when(goes_on, 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0))
     runs = marked.withColumn("starts", ~goes_on).withColumn("run", run)
-    return runs.groupBy("text_id", "run").agg(F.max(F.when(F.col("starts"), F.col("token"))).alias("path"), F.min("at").alias("s"), (F.max("at") + token).alias("e")).select("path", "text_id", "s", "e")
+    return runs.groupBy("text_id", "run").agg(F.max(F.when(F.col("starts"), F.col("token"))).alias("path"), F.min("at").alias("s"), (F.max("at") + token).alias("e"), F.max("copies").alias("copies")).select("path", "text_id", "s", "e", "copies")
 
 
-def _with_letters(texts: DataFrame, paths: DataFrame, around: int) -> DataFrame:
-    """The occurrences with their letters and ``around`` more on either side: (path, text_id, at, lead, part).
+def _blocks(paths: DataFrame, around: int, length: int) -> DataFrame:
+    """The occurrences, with ``around`` letters on either side, in blocks of windows: (path, block, text_id, copies, at, end, lead).
 
-    ``at`` is the part's place in the text, ``lead`` the number of letters before the path.
+    ``lead`` is the number of letters from ``at`` to the path's first one (negative behind it); blocks are counted from there, so that
+    all windows at the same place of a path lie in the same block, however long the path is.
     """
-    at = F.greatest(F.col("s") - around, F.lit(0))
-    joined = paths.join(texts.select("text_id", "letters"), "text_id")
-    return joined.select("path", "text_id", at.alias("at"), (F.col("s") - at).alias("lead"), F.expr(f"substring(letters, greatest(s - {around}, 0) + 1, e + {around} - greatest(s - {around}, 0))").alias("part"))
+    begin = F.greatest(F.col("s") - around, F.lit(0))
+    block_of = lambda place: F.floor((place - F.col("s")) / _BLOCK)
+    each = paths.select("path", "text_id", "copies", "s", begin.alias("begin"), (F.col("e") + around).alias("stop"))
+    each = each.withColumn("block", F.explode(F.sequence(block_of(F.col("begin")), block_of(F.greatest(F.col("stop") - length, F.col("begin"))))))
+    at = F.greatest("begin", F.col("s") + F.col("block") * _BLOCK)
+    end = F.least("stop", F.col("s") + (F.col("block") + 1) * _BLOCK + length - 1)
+    return each.select("path", "block", "text_id", "copies", at.cast("int").alias("at"), end.cast("int").alias("end"), (F.col("s") - at).cast("int").alias("lead"))
 
 
-def _windows(path: np.ndarray, lead: np.ndarray, parts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of all windows of the parts, each window's part, and its first letter in the part.
+def _with_letters(texts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The blocks with their letters from the source texts; a text may end before the block does."""
+    joined = blocks.join(texts.select("text_id", F.col("letters").cast("binary").alias("letters")), "text_id")
+    return joined.select("path", "block", "text_id", "at", "lead", F.substring("letters", F.col("at") + 1, F.col("end") - F.col("at")).alias("part"), "copies")
 
-    A key tells the path, the window's place in it, and the window's letters.
-    """
+
+def _windows(lead: np.ndarray, parts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the letters of all windows of the parts, each window's place in its path, its part, and its first letter in the part."""
     data, bounds = flat_letters(parts)
     if len(data) < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(parts)), np.diff(bounds))[: len(data) - length + 1]
     first = np.arange(len(owner))
     inside = first + length <= bounds[owner + 1]
     h, owner, first = gram_hashes(data, length)[inside], owner[inside], first[inside]
     first = first - bounds[owner]
-    place = (first - lead[owner]).astype(np.uint64)
-    return mixed(h + mixed(path[owner] + place * np.uint64(0x9E3779B97F4A7C15))), owner, first
+    return h, first - lead[owner], owner, first
 
 
 def _runs(owner: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,21 +139,24 @@ def _runs(owner: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray
 
 def _compared(placed: DataFrame, length: int, kind: T.DataType) -> DataFrame:
     """(text_id, s, e): stretches of windows that occurrences of a path in other texts have at the same place."""
-    rows = placed.select("path", "text_id", "at", "lead", "part").repartition("path").sortWithinPartitions("path")
+    rows = placed.repartition("path", "block").sortWithinPartitions("path", "block")
 
     def chunk(table: pa.Table) -> pa.RecordBatch | None:
         table = table.combine_chunks()
         path = table.column("path").to_numpy().view(np.uint64)
-        key, owner, first = _windows(path, table.column("lead").to_numpy(), table.column("part").combine_chunks(), length)
-        if not len(key):
+        h, place, owner, first = _windows(table.column("lead").to_numpy(), table.column("part").combine_chunks(), length)
+        if not len(h):
             return None
         text = table.column("text_id").combine_chunks().dictionary_encode().indices.to_numpy()[owner]
-        order = np.lexsort((text, key))
-        k, t = key[order], text[order]
-        starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        ends = np.append(starts[1:], len(k)) - 1
+        copied = table.column("copies").to_numpy()[owner]
+        # Windows at one place of one path, in order of their letters' hash.
+        where = mixed(path[owner] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.argsort(mixed(h + where), kind="stable")
+        k, p, t = h[order], where[order], text[order]
+        starts = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (p[1:] != p[:-1])))
+        several = (np.maximum.reduceat(t, starts) > np.minimum.reduceat(t, starts)) | np.maximum.reduceat(copied[order], starts)
         shared = np.empty(len(k), bool)
-        shared[order] = np.repeat(t[ends] > t[starts], ends - starts + 1)
+        shared[order] = np.repeat(several, np.diff(np.append(starts, len(k))))
         part, s, e = _runs(owner[shared], first[shared], length)
         at = table.column("at").to_numpy()[part]
         return pa.RecordBatch.from_arrays([table.column("text_id").combine_chunks().take(pa.array(part)), pa.array((s + at).astype(np.int32)), pa.array((e + at).astype(np.int32))], names=["text_id", "s", "e"])
@@ -156,12 +168,12 @@ def _compared(placed: DataFrame, length: int, kind: T.DataType) -> DataFrame:
             if not batch.num_rows:
                 continue
             waiting.append(pa.Table.from_batches([batch]))
-            size += batch.column(4).nbytes
+            size += batch.column(5).nbytes
             if size < _CHUNK_LETTERS:
                 continue
             table = pa.concat_tables(waiting).combine_chunks()
-            path = table.column("path").to_numpy()
-            cut = int(np.searchsorted(path, path[-1]))  # the last path may go on
+            path, block = table.column("path").to_numpy(), table.column("block").to_numpy()
+            cut = int(np.argmax((path == path[-1]) & (block == block[-1])))  # the last block may go on, by no more than _HOT_LETTERS
             if cut and (out := chunk(table.slice(0, cut))) is not None:
                 yield out
             waiting = [table.slice(cut)]
@@ -173,16 +185,20 @@ def _compared(placed: DataFrame, length: int, kind: T.DataType) -> DataFrame:
 
 
 def _compared_hot(placed: DataFrame, length: int, kind: T.DataType) -> DataFrame:
-    """As ``_compared`` for paths with very many occurrences: windows meet in an aggregate, wherever they come from."""
-    rows = placed.select("path", "text_id", "at", "lead", "part")
+    """As ``_compared`` for blocks with very many letters: windows meet in an aggregate, wherever they come from."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, owner, first = _windows(batch.column(0).to_numpy().view(np.uint64), batch.column(3).to_numpy(), batch.column(4), length)
-            if len(key):
-                at = batch.column(2).to_numpy()[owner]
-                yield from pa.Table.from_arrays([pa.array(key.view(np.int64)), batch.column(1).take(pa.array(owner)), pa.array((first + at).astype(np.int32))], names=["key", "text_id", "s"]).to_batches(max_chunksize=20_000)
-
-    each = rows.mapInArrow(windows, T.StructType([T.StructField("key", T.LongType()), T.StructField("text_id", kind), T.StructField("s", T.IntegerType())]))
-    shared = each.groupBy("key").agg(F.min("text_id").alias("low"), F.max("text_id").alias("high")).where("low < high").select("key")
-    return each.join(shared, "key", "left_semi").select("text_id", "s", (F.col("s") + length).cast("int").alias("e"))
+            for start in range(0, batch.num_rows, 64):
+                rows = batch.slice(start, 64)
+                h, place, owner, first = _windows(rows.column(4).to_numpy(), rows.column(5), length)
+                if len(h):
+                    take = pa.array(owner)
+                    at = rows.column(3).to_numpy()[owner]
+                    yield from pa.Table.from_arrays([rows.column(0).take(take), pa.array(place), pa.array(h.view(np.int64)), rows.column(2).take(take), pa.array((first + at).astype(np.int32)), rows.column(6).take(take)], names=["path", "place", "key", "text_id", "s", "copies"]).to_batches(max_chunksize=20_000)
+
+    schema = T.StructType([T.StructField("path", T.LongType()), T.StructField("place", T.LongType()), T.StructField("key", T.LongType()), T.StructField("text_id", kind), T.StructField("s", T.IntegerType()), T.StructField("copies", T.BooleanType())])
+    each = placed.mapInArrow(windows, schema)
+    window = ["path", "place", "key"]
+    shared = each.groupBy(*window).agg(F.min("text_id").alias("low"), F.max("text_id").alias("high"), F.max("copies").alias("c")).where("low < high or c").select(*window)
+    return each.join(shared, window, "left_semi").select("text_id", "s", (F.col("s") + length).cast("int").alias("e"))

@@ -99,9 +99,12 @@ def parts(batches: Iterator[pa.RecordBatch], letters_column: int) -> Iterator[pa
             yield table.to_batches()[0]
 
 
-def repeated_tokens(texts: DataFrame, chosen: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], extra: list[tuple[str, Callable]] = ()) -> DataFrame:
+def repeated_tokens(texts: DataFrame, chosen: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], extra: list[tuple[str, Callable]] = (), copies: bool = False) -> DataFrame:
     """(token, text_id, at, nth, times) of the tokens that stand in more than one of ``texts`` (text_id, letters).
 
+    With ``copies``, a text whose column ``copies`` is true stands for several records, so that each of its tokens
+    repeats; the column is kept.
+
     ``chosen(letters, bounds)`` gives positions and hashes; nth counts a text's tokens from 0. ``extra`` adds int columns
     whose values, one per token, are given by a function of (letters, bounds, positions, owners). ``times`` is how often
     the token occurs in all texts, on at least one row of each token, and 0 on rows that were spread.
@@ -110,7 +113,7 @@ def repeated_tokens(texts: DataFrame, chosen: Callable[[np.ndarray, np.ndarray],
     rows one a part goes to the token's place, to tell the others, and the rest are spread at random. So a token that
     stands in a third of all texts brings no more rows to its place than there are parts.
     """
-    names = [name for name, _ in extra]
+    names, flags = [name for name, _ in extra], ["copies"] * copies
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, 1):
@@ -130,6 +133,9 @@ def repeated_tokens(texts: DataFrame, chosen: Callable[[np.ndarray, np.ndarray],
             several = np.maximum.reduceat(so, starts) > np.minimum.reduceat(so, starts)
             known = np.empty(len(h), bool)
             known[order] = several[run]
+            if copies:
+                copied = part.column(2).to_numpy(zero_copy_only=False)[owner]
+                known |= np.maximum.reduceat(copied[order], starts)[run][np.argsort(order)]
             lead = np.zeros(len(h), bool)
             lead[order[starts]] = True
             times = np.zeros(len(h), np.int64)
@@ -138,14 +144,15 @@ def repeated_tokens(texts: DataFrame, chosen: Callable[[np.ndarray, np.ndarray],
             place = np.where(known & ~lead, spread, h)
             columns = [pa.array(place.view(np.int64)), pa.array(known), pa.array(h.view(np.int64)), part.column(0).take(pa.array(owner)), pa.array((at - bounds[owner]).astype(np.int32)), pa.array(nth.astype(np.int32)), pa.array(times)]
             columns += [pa.array(np.asarray(f(data, bounds, at, owner)).astype(np.int32)) for _, f in extra]
+            columns += [pa.array(copied)] if copies else []
             # A known row's token is kept beside its place; other rows' place is the token.
             columns[2] = pa.array(h.view(np.int64), mask=~(known & ~lead))
-            yield from pa.Table.from_arrays(columns, names=["place", "known", "token", "text_id", "at", "nth", "times", *names]).to_batches(max_chunksize=20_000)
+            yield from pa.Table.from_arrays(columns, names=["place", "known", "token", "text_id", "at", "nth", "times", *names, *flags]).to_batches(max_chunksize=20_000)
 
     kind = texts.schema["text_id"].dataType
-    schema = T.StructType([T.StructField("place", T.LongType()), T.StructField("known", T.BooleanType()), T.StructField("token", T.LongType()), T.StructField("text_id", kind), T.StructField("at", T.IntegerType()), T.StructField("nth", T.IntegerType()), T.StructField("times", T.LongType()), *[T.StructField(n, T.IntegerType()) for n in names]])
-    spread = texts.select("text_id", "letters").mapInArrow(rows, schema)
+    schema = T.StructType([T.StructField("place", T.LongType()), T.StructField("known", T.BooleanType()), T.StructField("token", T.LongType()), T.StructField("text_id", kind), T.StructField("at", T.IntegerType()), T.StructField("nth", T.IntegerType()), T.StructField("times", T.LongType()), *[T.StructField(n, T.IntegerType()) for n in names], *[T.StructField(n, T.BooleanType()) for n in flags]])
+    spread = texts.select("text_id", "letters", *flags).mapInArrow(rows, schema)
     place = Window.partitionBy("place")
     told = spread.withColumn("repeats", F.max("known").over(place) | (F.min("text_id").over(place) < F.max("text_id").over(place)))
     told = told.withColumn("times", F.when(F.col("token").isNull(), F.sum("times").over(place)).otherwise(0))
-    return told.where("repeats").select(F.coalesce("token", "place").alias("token"), "text_id", "at", "nth", "times", *names)
+    return told.where("repeats").select(F.coalesce("token", "place").alias("token"), "text_id", "at", "nth", "times", *names, *flags)

@@ -102,14 +102,23 @@ def test_copies_of_nothing(spark):
     assert formatting_duplicates(frame(spark, [(1, "AC"), (1, "AC"), (1, "GG")]), "id", "seq").count() == 0
 
 
-@pytest.mark.parametrize("hot", [4000, 2])
-def test_spans(spark, monkeypatch, hot):
-    monkeypatch.setattr(spans, "_HOT", hot)
+@pytest.mark.parametrize("hot,block", [(1 << 23, 1 << 16), (500, 1 << 16), (1 << 23, 37), (500, 37)])
+def test_spans(spark, monkeypatch, hot, block):
+    monkeypatch.setattr(spans, "_HOT_LETTERS", hot)
+    monkeypatch.setattr(spans, "_BLOCK", block)
     rows = noisy(random.Random(2))
     found = shared_spans(frame(spark, rows), "id", "seq", 48)
     assert sorted(map(tuple, found.collect())) == brute_spans(texts_of(rows), 48)
 
 
+def test_spans_of_a_long_path_with_many_occurrences(spark):
+    """Many near copies of 30,000 letters, compared block by block."""
+    s = dna(random.Random(10), 30_000)
+    df = spark.range(240).select("id", F.concat(F.lit(s), F.translate(F.conv(F.col("id").cast("string"), 10, 4), "0123", "ACGT")).alias("seq"))
+    found = shared_spans(df, "id", "seq", 48).collect()
+    assert len(found) == 240 and all(r["span_start"] == 0 and r["span_end"] >= 30_000 for r in found)
+
+
 def test_spans_of_repeats_and_short_lengths(spark):
     rows = [(1, "AC" * 60), (2, "CA" * 40), (3, "GT" * 50), (4, "GTT" * 3), (5, "TTGTT")]
     for k in (48, 5):
