@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedgeline.operators.intervals import covered_periods
+
 
 def shared_substrings(pairs: DataFrame, key: str, a: str, b: str, least: int = 30) -> DataFrame:
     """(key, start_1, start_2, length): all maximal common substrings of at least ``least`` letters of each pair.
@@ -25,20 +28,24 @@ def _per_pair(df: DataFrame, key: list[str], choose) -> DataFrame:
     """Keeps the rows of each pair whose positions ``choose`` gives, in one task a pair: the choice is sequential."""
 
     def kept(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.iloc[sorted(choose(rows.reset_index(drop=True)))]
+        return rows.iloc[sorted(choose(rows))]
 
     return df.groupBy(*key).applyInPandas(kept, df.schema)
 
 
+def _order(rows: pd.DataFrame, first: list[tuple[str, bool]]) -> np.ndarray:
+    """Row numbers in the order of (column, descending), equal rows by their further columns."""
+    keys = [-rows[c].to_numpy() if down else rows[c].to_numpy() for c, down in first]
+    rest = [pd.factorize(rows[c], sort=True)[0] for c in rows.columns if c not in dict(first)]
+    return np.lexsort([*rest[::-1], *keys[::-1]])
+
+
 def _greedy(rows: pd.DataFrame) -> list[int]:
-    order = rows.sort_values(["length", "start_1", "start_2"], ascending=[False, True, True]).index
-    taken_1, taken_2, out = set(), set(), []
-    for i in order:
-        r = rows.loc[i]
-        x, y = range(r.start_1, r.start_1 + r.length), range(r.start_2, r.start_2 + r.length)
-        if taken_1.isdisjoint(x) and taken_2.isdisjoint(y):
-            taken_1.update(x)
-            taken_2.update(y)
+    x, y, n = (rows[c].to_numpy() for c in ("start_1", "start_2", "length"))
+    out: list[int] = []
+    for i in _order(rows, [("length", True), ("start_1", False), ("start_2", False)]).tolist():
+        k = np.array(out, int)
+        if not ((x[i] < x[k] + n[k]) & (x[k] < x[i] + n[i]) | (y[i] < y[k] + n[k]) & (y[k] < y[i] + n[i])).any():
             out.append(i)
     return out
 
@@ -49,42 +56,40 @@ def greedy_non_overlapping(anchors: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _colinear(rows: pd.DataFrame) -> list[int]:
-    chain = list(rows.sort_values(["start_1", "start_2"]).index)
-    i = 0
-    while i + 1 < len(chain):
-        x, y = rows.loc[chain[i]], rows.loc[chain[i + 1]]
-        if y.start_2 >= x.start_2:
-            i += 1
-            continue
-        chain.pop(i if x.score < y.score else i + 1)
-        i = max(i - 1, 0)  # what is now next to each other is looked at again
+    y, score = rows["start_2"].tolist(), rows["score"].tolist()
+    chain: list[int] = []
+    for i in _order(rows, [("start_1", False), ("start_2", False)]).tolist():
+        while chain and y[chain[-1]] > y[i] and score[chain[-1]] < score[i]:
+            chain.pop()
+        if not chain or y[chain[-1]] <= y[i]:
+            chain.append(i)
     return chain
 
 
 def colinear(anchors: DataFrame, key: list[str]) -> DataFrame:
-    """Anchors in the same order on both sequences: of two neighbours that cross, the lower score is dropped, the later one on a tie."""
+    """Anchors in the same order on both sequences: of two neighbours that cross, the lower score is dropped, the later one on a tie.
+
+    Equal places are taken in order of the further columns.
+    """
     return _per_pair(anchors.where("score is not null"), key, _colinear)
 
 
 def _consistent(total: int, partly: int):
     def choose(rows: pd.DataFrame) -> list[int]:
-        kept, references = [], []
-        for i, r in rows.iterrows():
-            drop, inside = False, False
-            for j in references:
-                q = rows.loc[j]
-                apart = abs((r.start_1 - r.start_2) - (q.start_1 - q.start_2))
-                crosses = (r.start_1 - q.start_1) * (r.start_2 - q.start_2) < 0
-                contained = r.start_1 >= q.start_1 and r.start_1 + r.length <= q.start_1 + q.length or r.start_2 >= q.start_2 and r.start_2 + r.length <= q.start_2 + q.length
-                overlaps = r.start_1 < q.start_1 + q.length and q.start_1 < r.start_1 + r.length or r.start_2 < q.start_2 + q.length and q.start_2 < r.start_2 + r.length
-                if (crosses or contained) and apart > total or overlaps and apart > partly:
-                    drop = True
-                    break
-                inside |= crosses or contained
-            if not drop:
-                kept.append(i)
-                if not inside:
-                    references.append(i)
+        x, y, n = (rows[c].to_numpy(np.int64) for c in ("start_1", "start_2", "length"))
+        kept: list[int] = []
+        references: list[int] = []
+        for i in _order(rows, [("score", True), ("start_1", False), ("start_2", False)]).tolist():
+            q = np.array(references, int)
+            apart = abs((x[i] - y[i]) - (x[q] - y[q]))
+            crosses = (x[i] - x[q]) * (y[i] - y[q]) < 0
+            contained = (x[i] >= x[q]) & (x[i] + n[i] <= x[q] + n[q]) | (y[i] >= y[q]) & (y[i] + n[i] <= y[q] + n[q])
+            overlaps = (x[i] < x[q] + n[q]) & (x[q] < x[i] + n[i]) | (y[i] < y[q] + n[q]) & (y[q] < y[i] + n[i])
+            if ((crosses | contained) & (apart > total) | overlaps & (apart > partly)).any():
+                continue
+            kept.append(i)
+            if not (crosses | contained).any():
+                references.append(i)
         return kept
 
     return choose
@@ -93,26 +98,62 @@ def _consistent(total: int, partly: int):
 def without_bad_hits(anchors: DataFrame, key: list[str], total: int = 50, partly: int = 400) -> DataFrame:
     """Anchors, in order of score, that don't contradict a better one: those that cross one or lie within it must be on a diagonal
     at most ``total`` away, those that overlap one at most ``partly``. Close ones that cross are kept but judge no others."""
+    return _per_pair(anchors.where("score is not null"), key, _consistent(total, partly))
+
+
+def empty_blocks(chain: DataFrame, key: list[str]) -> DataFrame:
+    """(key, x0, x1, y0, y1, area): the blocks between neighbouring anchors of a colinear chain, the one before the first among them.
+
+    An anchor that overlaps the one before begins a block of no area; such blocks are left out.
+    """
+    along = Window.partitionBy(*key).orderBy("start_1", "start_2", "length")
+    end = lambda c: F.coalesce(F.lag(F.col(c) + F.col("length")).over(along), F.lit(0))
+    blocks = chain.select(*key, end("start_1").alias("x0"), F.col("start_1").alias("x1"), end("start_2").alias("y0"), F.col("start_2").alias("y1"))
+    area = F.greatest(F.col("x1") - F.col("x0"), F.lit(0)).cast("long") * F.greatest(F.col("y1") - F.col("y0"), F.lit(0))
+    return blocks.withColumn("area", area).where("area > 0")
 
-    def choose(rows: pd.DataFrame) -> list[int]:
-        return _consistent(total, partly)(rows.sort_values(["score", "start_1", "start_2"], ascending=[False, True, True]))
 
-    return _per_pair(anchors.where("score is not null"), key, choose)
+def relieved_blocks(blocks: DataFrame, key: list[str], limit: int) -> DataFrame:
+    """``blocks`` with ``gap``: whether a block's cells aren't filled, but led around by gaps, so that a pair's cells fit ``limit``.
+
+    The largest blocks go first, equals from the left, and no more of them than needed.
+    """
+    order = [F.col("area").desc(), "x0", "y0"]
+    every, before = Window.partitionBy(*key), Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.sum("area").over(every) - F.coalesce(F.sum("area").over(before), F.lit(0))
+    return blocks.withColumn("gap", left > limit)
 
 
-def band(anchors: list[tuple[int, int, int]], n: int, m: int, offset: int = 15) -> tuple[list[int], list[int]]:
+def band(anchors: list[tuple[int, int, int]], n: int, m: int, offset: int = 15, limit: int | None = None) -> tuple[list[int], list[int]]:
     """For each site 0..n of the first sequence, the sites of the second that an alignment near the anchors (start_1, start_2, length)
-    may pair it with: between neighbouring anchors the whole block between them, and ``offset`` more on either side, always connected."""
+    may pair it with: between neighbouring anchors the whole block between them, and ``offset`` more on either side, always connected.
+
+    With a ``limit`` on the blocks' cells, the largest blocks are led around by gaps (first along the one sequence, then the other)
+    until the rest fits.
+    """
     lo, hi = [0] * (n + 1), [m] * (n + 1)
     ends = [(0, 0)] + [p for s1, s2, k in sorted(anchors) for p in ((s1, s2), (s1 + k, s2 + k))] + [(n, m)]
-    for (x0, y0), (x1, y1) in zip(ends, ends[1:], strict=False):
-        diagonal = x1 - x0 == y1 - y0 and x1 > x0
+    blocks = [(x0, y0, x1, y1, x1 - x0 == y1 - y0 and x1 > x0) for (x0, y0), (x1, y1) in zip(ends, ends[1:], strict=False)]
+    area = [0 if diagonal else max(x1 - x0, 0) * max(y1 - y0, 0) for x0, y0, x1, y1, diagonal in blocks]
+    around: set[int] = set()
+    for k in sorted(range(len(blocks)), key=lambda k: -area[k]):
+        if limit is None or sum(area) - sum(area[r] for r in around) <= limit:
+            break
+        around.add(k)
+    for k, (x0, y0, x1, y1, diagonal) in enumerate(blocks):
         for x in range(x0, x1 + 1):
             lo[x] = max(0, (y0 + x - x0 if diagonal else y0) - offset)
-            hi[x] = min(m, (y0 + x - x0 if diagonal else y1) + offset)
+            hi[x] = min(m, (y0 + x - x0 if diagonal else y0 if k in around and x < x1 else y1) + offset)
     for x in range(1, n + 1):
-        lo[x] = max(lo[x], 0)
         hi[x] = max(hi[x], hi[x - 1])
     for x in range(n - 1, -1, -1):
         lo[x] = min(lo[x], lo[x + 1])
     return lo, hi
+
+
+def covered_share(anchors: DataFrame, key: list[str], size: str) -> DataFrame:
+    """(key, share): the part of the first sequence (of ``size`` letters) that its anchors cover, overlaps counted once."""
+    placed = anchors.where("length > 0 and start_1 >= 0").select(F.struct(*key).alias("k"), F.col("start_1").alias("s"), (F.col("start_1") + F.col("length")).alias("e"), size)
+    sizes = placed.groupBy("k").agg(F.max(size).alias("size"))
+    covered = covered_periods(placed, "k", "s", "e").where("kind = 'period'").groupBy("k").agg(F.sum(F.col("seg_end") - F.col("seg_start")).alias("n"))
+    return covered.join(sizes, "k").select("k.*", (F.col("n") / F.col("size")).alias("share"))

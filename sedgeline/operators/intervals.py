@@ -64,15 +64,25 @@ def _compact(table: pa.Table) -> pa.Table:
     """The disjoint union, per key, of the intervals of an unsorted table."""
     if not table.num_rows:
         return table
-    keys = table.column(0).combine_chunks().dictionary_encode()
-    keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
-    code = keys.indices.to_numpy(zero_copy_only=False)
+    code, values = _encoded(table.column(0).combine_chunks())
     start, end = (table.column(i).to_numpy() for i in (1, 2))
     order = np.lexsort((start, code))
     code, start, end = code[order], start[order], end[order]
     first, reach = _islands(np.append(True, code[1:] != code[:-1]), start, end)
     names = table.schema.names
-    return pa.table([keys.dictionary.take(pa.array(code[first])).cast(table.schema.field(0).type), start[first], reach], names=names)
+    return pa.table([values.take(pa.array(code[first])).cast(table.schema.field(0).type), start[first], reach], names=names)
+
+
+def _encoded(keys: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each key, and the keys by number."""
+    if isinstance(keys, pa.ChunkedArray):
+        keys = pa.concat_arrays(keys.chunks)
+    if pa.types.is_struct(keys.type):
+        parts = np.stack([_encoded(f)[0] for f in keys.flatten()], 1)
+        _, first, code = np.unique(parts, axis=0, return_index=True, return_inverse=True)
+        return code.ravel(), keys.take(pa.array(first))
+    coded = keys.dictionary_encode(null_encoding="encode")
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

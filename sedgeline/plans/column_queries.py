@@ -160,34 +160,82 @@ def j10_shared_substrings(spark: SparkSession, d: str) -> DataFrame:
     return _substrings(spark, d)
 
 
-@query(f"{_SHARED} SELECT anchor_id FROM found GROUP BY anchor_id")
+# Choices that are sequential, as recursion over the anchors' ranks with a list of what was kept so far.
+_GREEDY = _SHARED.replace("WITH ", "WITH RECURSIVE ", 1) + """, ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY length DESC, start_1, start_2) AS r FROM found),
+    step AS (SELECT anchor_id, r, start_1, start_2, length, true AS keep, [{'x': start_1, 'y': start_2, 'n': length}] AS kept FROM ranked WHERE r = 1
+        UNION ALL SELECT anchor_id, r, start_1, start_2, length, ok, CASE WHEN ok THEN list_append(kept, {'x': start_1, 'y': start_2, 'n': length}) ELSE kept END
+        FROM (SELECT a.*, s.kept, len(list_filter(s.kept, lambda k: a.start_1 < k.x + k.n AND k.x < a.start_1 + a.length OR a.start_2 < k.y + k.n AND k.y < a.start_2 + a.length)) = 0 AS ok
+            FROM step s JOIN ranked a ON a.anchor_id = s.anchor_id AND a.r = s.r + 1))
+    SELECT anchor_id, start_1, start_2, length FROM step WHERE keep"""
+
+# A stack of anchors: the next one takes those off whose start_2 is higher, as long as their scores are lower.
+_CHAIN = """WITH RECURSIVE ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY seq_1, seq_2 ORDER BY start_1, start_2, anchor_id) AS r FROM anchor WHERE score IS NOT NULL),
+    step AS (SELECT seq_1, seq_2, r, [{'id': anchor_id, 'y': start_2, 's': score}] AS stack FROM ranked WHERE r = 1
+        UNION ALL SELECT a.seq_1, a.seq_2, a.r, CASE WHEN len(list_filter(s.stack, lambda k: k.y > a.start_2 AND k.s >= a.score)) = 0
+            THEN list_append(list_filter(s.stack, lambda k: k.y <= a.start_2), {'id': a.anchor_id, 'y': a.start_2, 's': a.score})
+            ELSE list_filter(s.stack, lambda k, i: i <= list_max(list_transform(s.stack, lambda q, p: CASE WHEN q.y > a.start_2 AND q.s >= a.score THEN p ELSE 0 END))) END
+        FROM step s JOIN ranked a ON a.seq_1 = s.seq_1 AND a.seq_2 = s.seq_2 AND a.r = s.r + 1),
+    chain AS (SELECT unnest(stack).id AS anchor_id FROM step QUALIFY row_number() OVER (PARTITION BY seq_1, seq_2 ORDER BY r DESC) = 1),
+    kept AS (SELECT anchor.* FROM anchor SEMI JOIN chain USING (anchor_id))"""
+
+_CONSISTENT = """WITH RECURSIVE ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY seq_1, seq_2 ORDER BY score DESC, start_1, start_2, anchor_id) AS r FROM anchor WHERE score IS NOT NULL),
+    step AS (SELECT seq_1, seq_2, r, anchor_id, score, true AS keep, [{'x': start_1, 'y': start_2, 'n': length}] AS judges FROM ranked WHERE r = 1
+        UNION ALL SELECT seq_1, seq_2, r, anchor_id, score, bad = 0, CASE WHEN bad = 0 AND near = 0 THEN list_append(judges, {'x': start_1, 'y': start_2, 'n': length}) ELSE judges END
+        FROM (SELECT a.*, s.judges,
+            len(list_filter(s.judges, lambda k: ((CAST(a.start_1 - k.x AS BIGINT) * (a.start_2 - k.y) < 0 OR a.start_1 >= k.x AND a.start_1 + a.length <= k.x + k.n OR a.start_2 >= k.y AND a.start_2 + a.length <= k.y + k.n) AND abs(a.start_1 - a.start_2 - k.x + k.y) > 50)
+                OR ((a.start_1 < k.x + k.n AND k.x < a.start_1 + a.length OR a.start_2 < k.y + k.n AND k.y < a.start_2 + a.length) AND abs(a.start_1 - a.start_2 - k.x + k.y) > 400))) AS bad,
+            len(list_filter(s.judges, lambda k: CAST(a.start_1 - k.x AS BIGINT) * (a.start_2 - k.y) < 0 OR a.start_1 >= k.x AND a.start_1 + a.length <= k.x + k.n OR a.start_2 >= k.y AND a.start_2 + a.length <= k.y + k.n)) AS near
+            FROM step s JOIN ranked a ON a.seq_1 = s.seq_1 AND a.seq_2 = s.seq_2 AND a.r = s.r + 1))
+    SELECT anchor_id, seq_1, seq_2, score FROM step WHERE keep"""
+
+_BLOCKS = _CHAIN + """, ends AS (SELECT seq_1, seq_2, start_1 AS x1, start_2 AS y1, coalesce(lag(start_1 + length) OVER w, 0) AS x0, coalesce(lag(start_2 + length) OVER w, 0) AS y0 FROM kept WINDOW w AS (PARTITION BY seq_1, seq_2 ORDER BY start_1, start_2, length)),
+    blocks AS (SELECT seq_1, seq_2, x0, x1, y0, y1, CAST(x1 - x0 AS BIGINT) * (y1 - y0) AS area FROM ends WHERE x1 > x0 AND y1 > y0)"""
+
+
+@query(_GREEDY)
 def w10_a04_prefix_anchors(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs that keep an anchor after the greedy choice of non-overlapping substrings: all that have any."""
-    return an.greedy_non_overlapping(_substrings(spark, d), ["anchor_id"]).select("anchor_id").distinct()
-
-
-@query("SELECT DISTINCT seq_1, seq_2 FROM anchor WHERE score IS NOT NULL")
-def w11_colinear_anchors(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs that keep an anchor after crossing ones are dropped: all that have any with a score."""
-    return an.colinear(anchors(spark, d), ["seq_1", "seq_2"]).select("seq_1", "seq_2").distinct()
-
-
-@query(None)
-def w10_a04_kept_anchors(spark: SparkSession, d: str) -> DataFrame:
     """The substrings that each pair keeps after the greedy choice of non-overlapping ones."""
     return an.greedy_non_overlapping(_substrings(spark, d), ["anchor_id"]).select("anchor_id", "start_1", "start_2", "length")
 
 
-@query(None)
-def w11_kept_anchors(spark: SparkSession, d: str) -> DataFrame:
+def _chain(spark: SparkSession, d: str) -> DataFrame:
+    return an.colinear(anchors(spark, d).select("seq_1", "seq_2", "anchor_id", "start_1", "start_2", "length", "score"), ["seq_1", "seq_2"])
+
+
+@query(f"{_CHAIN} SELECT anchor_id, seq_1, seq_2, start_1, start_2, length, score FROM kept")
+def w11_colinear_anchors(spark: SparkSession, d: str) -> DataFrame:
     """The anchors that each pair keeps after crossing ones are dropped."""
-    return an.colinear(anchors(spark, d), ["seq_1", "seq_2"]).select("anchor_id", "seq_1", "seq_2", "start_1", "start_2", "length", "score")
+    return _chain(spark, d)
 
 
-@query(None)
+@query(_CONSISTENT)
 def a05_consistent_anchors(spark: SparkSession, d: str) -> DataFrame:
     """Each pair's anchors that don't contradict better ones."""
-    return an.without_bad_hits(anchors(spark, d), ["seq_1", "seq_2"]).select("anchor_id", "seq_1", "seq_2", "score")
+    rows = anchors(spark, d).select("seq_1", "seq_2", "anchor_id", "start_1", "start_2", "length", "score")
+    return an.without_bad_hits(rows, ["seq_1", "seq_2"]).select("anchor_id", "seq_1", "seq_2", "score")
+
+
+@query(f"{_BLOCKS} SELECT * FROM blocks QUALIFY row_number() OVER (PARTITION BY seq_1, seq_2 ORDER BY area DESC, x0, y0) = 1")
+def w16_largest_block(spark: SparkSession, d: str) -> DataFrame:
+    """The largest empty block between the neighbouring anchors of each pair, the first of equals."""
+    blocks = an.empty_blocks(_chain(spark, d).where("start_1 is not null and start_2 is not null"), ["seq_1", "seq_2"])
+    best = F.max_by(F.struct("x0", "x1", "y0", "y1", "area"), F.struct("area", -F.col("x0"), -F.col("y0"))).alias("b")
+    return blocks.groupBy("seq_1", "seq_2").agg(best).select("seq_1", "seq_2", "b.*")
+
+
+@query(f"{_BLOCKS} SELECT *, sum(area) OVER (PARTITION BY seq_1, seq_2) - coalesce(sum(area) OVER (PARTITION BY seq_1, seq_2 ORDER BY area DESC, x0, y0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 2000 AS gap FROM blocks")
+def a20_relieved_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Which empty blocks are led around by gaps so that a pair's cells fit a limit."""
+    return an.relieved_blocks(an.empty_blocks(_chain(spark, d), ["seq_1", "seq_2"]), ["seq_1", "seq_2"], 2000)
+
+
+@query(f"""WITH {RECORDS}, e AS (SELECT name, max(length(seq)) AS size FROM rec GROUP BY name), p AS (SELECT DISTINCT seq_1, seq_2, size, unnest(range(start_1, start_1 + length)) AS i FROM anchor JOIN e ON name = seq_1 WHERE length > 0 AND start_1 >= 0)
+    SELECT seq_1, seq_2, round(count(*) / max(size), 9) AS share, count(*) / max(size) > 0.6 AS skipped FROM p GROUP BY seq_1, seq_2""")
+def a21_coverage_skip(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs whose anchors cover so much of the first record that no alignment is needed."""
+    e = records(spark, d).groupBy(F.col("name").alias("seq_1")).agg(F.max(F.length("seq")).alias("size"))
+    share = an.covered_share(anchors(spark, d).join(e, "seq_1"), ["seq_1", "seq_2"], "size")
+    return share.select("seq_1", "seq_2", F.round("share", 9).alias("share"), (F.col("share") > 0.6).alias("skipped"))
 
 
 @query(f"WITH {REFERENCES} SELECT name, rtrim(regexp_replace(seq, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10)) AS lines FROM ref")

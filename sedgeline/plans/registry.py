@@ -35,6 +35,7 @@ _INTEGERS = {
     "w14_g16_events": ["first", "last"],
     "w14_g16_whole_events": ["first", "last"],
     "j10_shared_substrings": ["start_1", "start_2", "length"],
+    "w10_a04_prefix_anchors": ["start_1", "start_2", "length"],
 }
 
 

@@ -100,12 +100,6 @@ def w12_running_bound(spark: SparkSession, d: str) -> DataFrame:
     return anchors(spark, d).select("seq_1", "anchor_id", F.max(F.col("start_1") + F.col("length")).over(order).alias("reach"))
 
 
-@query("SELECT seq_1, max_by(anchor_id, area) AS anchor_id, max(area) AS area FROM (SELECT seq_1, anchor_id, CAST(start_1 AS BIGINT) * start_2 * 1000000 + anchor_id AS area FROM anchor WHERE start_1 >= 0 AND start_2 >= 0) GROUP BY seq_1")
-def w16_largest_block(spark: SparkSession, d: str) -> DataFrame:
-    area = (F.col("start_1").cast("long") * F.col("start_2") * 1000000 + F.col("anchor_id")).alias("area")
-    return anchors(spark, d).where("start_1 >= 0 and start_2 >= 0").select("seq_1", "anchor_id", area).groupBy("seq_1").agg(F.max_by("anchor_id", "area").alias("anchor_id"), F.max("area").alias("area"))
-
-
 @query(f"""WITH {RECORDS}, c AS (SELECT sum(length(seq) - length(replace(seq, 'A', ''))) AS a, sum(length(seq) - length(replace(seq, 'C', ''))) AS c,
     sum(length(seq) - length(replace(seq, 'G', ''))) AS g, sum(length(seq) - length(replace(seq, 'T', ''))) AS t FROM rec)
     SELECT round(a / (a + c + g + t), 9) AS a, round(c / (a + c + g + t), 9) AS c, round(g / (a + c + g + t), 9) AS g, round(t / (a + c + g + t), 9) AS t FROM c""")

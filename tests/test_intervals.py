@@ -45,6 +45,12 @@ def test_reduction_tree_and_batches(spark):
     assert run(spark, rows, parts=9, fan_in=2) == brute(rows)
 
 
+def test_struct_keys(spark):
+    df = spark.createDataFrame([(("a", 1), 0, 2), (("a", None), 1, 3), (("a", 1), 2, 5), (("a", None), 7, 8)], "k struct<x:string,y:int>, s int, e int")
+    found = sorted((r["k"]["x"], r["k"]["y"] or 0, r["kind"], r["seg_start"], r["seg_end"]) for r in covered_periods(df, "k", "s", "e").collect())
+    assert found == [("a", 0, "gap", 3, 7), ("a", 0, "period", 1, 3), ("a", 0, "period", 7, 8), ("a", 1, "period", 0, 5)]
+
+
 def test_small_chunks(spark, monkeypatch):
     monkeypatch.setattr(intervals, "_CHUNK_ROWS", 50)
     rng = random.Random(2)
