@@ -53,7 +53,8 @@ def _islands(new_key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
 def _changes(keys: pa.Array) -> np.ndarray:
     """Whether each row's key differs from the row's before."""
     if pa.types.is_struct(keys.type):
-        return np.logical_or.reduce([_changes(keys.field(i)) for i in range(keys.type.num_fields)])
+        code, _ = _encoded(keys)
+        return np.append(True, code[1:] != code[:-1])
     out = np.ones(len(keys), dtype=bool)
     if len(keys) > 1:
         out[1:] = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)

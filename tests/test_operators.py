@@ -175,7 +175,7 @@ def test_kept_anchors(spark, tmp_path):
                 kept.append((i, j, -n))
         assert len(kept) < len(runs)
         expected += [(k, *x) for x in kept]
-    assert sorted(map(tuple, queries()["w10_a04_kept_anchors"](spark, str(tmp_path)).collect())) == sorted(expected)
+    assert sorted(map(tuple, queries()["w10_a04_prefix_anchors"](spark, str(tmp_path)).collect())) == sorted(expected)
     expected = []
     for pair in (("x", "y"), ("x", "z")):
         chain = sorted((r for r in rows if r[1:3] == pair and r[6] is not None), key=lambda r: r[3:5])
@@ -184,7 +184,7 @@ def test_kept_anchors(spark, tmp_path):
             del chain[i if chain[i][6] < chain[i + 1][6] else i + 1]
         expected += chain
     assert len(expected) < 11
-    assert sorted(map(tuple, queries()["w11_kept_anchors"](spark, str(tmp_path)).collect())) == sorted(expected)
+    assert sorted(map(tuple, queries()["w11_colinear_anchors"](spark, str(tmp_path)).collect())) == sorted(expected)
 
 
 def test_band_keeps_the_best_path():
