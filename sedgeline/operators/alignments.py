@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedgeline.functions.sequence import BASE_BITS, bits_letter
+from sedgeline.functions.sequence import BASE_BITS, bits_letter, translate_codons
 
 
 def columns_of(rows: DataFrame, keys: list[str], row: str) -> DataFrame:
@@ -44,29 +44,41 @@ def contig_letter(consensus: Column, reference: Column, covered: Column, show_re
     return F.when(covered & (consensus != "-"), consensus).when(covered, "").otherwise(F.lower(reference) if show_reference else F.lit("n"))
 
 
-def branch_events(branches: DataFrame, key: str, parent: str, child: str) -> DataFrame:
+def branch_events(branches: DataFrame, key: str, parent: str, child: str, unit: int = 1) -> DataFrame:
     """(key, kind, first, last, change) of the events from a parent's to its child's row, columns counted from 1.
 
+    With a ``unit`` of 3 the columns are codons, and a change names the residues as well.
+
     'sub': both have letters, which differ. 'del': a run in which the parent has letters and the child none; it ends before the
     child's next letter. 'ins': the converse. Columns in which neither has a letter don't end a run; one that reaches the end of the rows
     ends there.
     """
-    c = branches.select(key, F.posexplode(F.arrays_zip(F.split(parent, "").alias("p"), F.split(child, "").alias("c"))).alias("i", "x")).select(key, (F.col("i") + 1).alias("site"), F.col("x.p").alias("p"), F.col("x.c").alias("c")).where("p <> '' and c <> ''")
+    parts = lambda row: F.split(row, "") if unit == 1 else F.expr(f"transform(sequence(0, int(ceil(length({row}) / {unit})) - 1), i -> substring({row}, i * {unit} + 1, {unit}))")
+    c = branches.select(key, F.posexplode(F.arrays_zip(parts(parent).alias("p"), parts(child).alias("c"))).alias("i", "x")).select(key, (F.col("i") + 1).alias("site"), F.col("x.p").alias("p"), F.col("x.c").alias("c")).where("p <> '' and c <> ''")
+    gap = "-" * unit
     width = F.max("site").over(Window.partitionBy(key))
     c = c.withColumn("width", width)
-    subs = c.where("p <> '-' and c <> '-' and p <> c").select(key, F.lit("sub").alias("kind"), F.col("site").alias("first"), F.col("site").alias("last"), F.concat("p", F.lit(" -> "), "c").alias("change"))
+    subs = c.where((F.col("p") != gap) & (F.col("c") != gap) & (F.col("p") != F.col("c"))).select(key, F.lit("sub").alias("kind"), F.col("site").alias("first"), F.col("site").alias("last"), _named_change(unit).alias("change"))
     out = subs
     for kind, here, gone in (("del", "p", "c"), ("ins", "c", "p")):
         # Letters of the side that lost them close a run; the closing sites before a column number its run.
         along = Window.partitionBy(key).orderBy("site")
-        run = F.sum(F.when(F.col(gone) != "-", 1).otherwise(0)).over(along)
-        ends = F.min(F.when(F.col(gone) != "-", F.col("site"))).over(along.rowsBetween(1, Window.unboundedFollowing))
-        marked = c.withColumn("run", run).withColumn("next", ends).where((F.col(here) != "-") & (F.col(gone) == "-"))
+        run = F.sum(F.when(F.col(gone) != gap, 1).otherwise(0)).over(along)
+        ends = F.min(F.when(F.col(gone) != gap, F.col("site"))).over(along.rowsBetween(1, Window.unboundedFollowing))
+        marked = c.withColumn("run", run).withColumn("next", ends).where((F.col(here) != gap) & (F.col(gone) == gap))
         rows = marked.groupBy(key, "run").agg(F.min("site").alias("first"), F.max(F.coalesce(F.col("next") - 1, F.col("width"))).alias("last"))
         out = out.unionByName(rows.select(key, F.lit(kind).alias("kind"), "first", "last", F.lit(None).cast("string").alias("change")))
     return out
 
 
+def _named_change(unit: int) -> Column:
+    change = F.concat("p", F.lit(" -> "), "c")
+    if unit == 1:
+        return change
+    x, y = translate_codons(F.col("p")), translate_codons(F.col("c"))
+    return F.concat(change, F.lit(" ("), F.when(x == y, x).otherwise(F.concat(x, F.lit(" -> "), y)), F.lit(")"))
+
+
 def query_span(rows: DataFrame, group: str, row: str, is_query: Column, pad: int = 15) -> DataFrame:
     """(group, first, last): the columns from the first to the last letter of a group's queries, and ``pad`` more on either side."""
     first = F.length(F.regexp_extract(row, "^(-*)", 1)) + 1

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from sedgeline.functions.models import GAPS, GapModel, dna_scores, gap_logs
+from sedgeline.functions.models import GAPS, Alphabet, GapModel, dna_scores, gap_logs
 from sedgeline.functions.sequence import BASE_BITS, DNA
 
 NO = -np.inf
@@ -51,9 +51,9 @@ class Graph:
         return [np.arange(cuts[i], cuts[i + 1]) for i in range(self.n + 2)]
 
 
-def linear(seq: str) -> Graph:
-    """The chain of a sequence; letters outside the alphabet count as N."""
-    states = np.array([DNA.find(c) if c in DNA else len(DNA) - 1 for c in seq], np.int64)
+def linear(seq: str, alphabet: Alphabet | None = None) -> Graph:
+    """The chain of a sequence, of nucleotides unless an alphabet is given; letters outside the alphabet count as N."""
+    states = alphabet.states(seq) if alphabet else np.array([DNA.find(c) if c in DNA else len(DNA) - 1 for c in seq], np.int64)
     at = np.arange(len(states) + 1)
     return Graph(states, at, at + 1, np.ones(len(at)))
 
@@ -80,6 +80,10 @@ def model_at(t: float, pi: tuple[float, float, float, float] = (0.25,) * 4, gaps
     return Model(dna_scores(t, pi), *gap_logs(t, gaps))
 
 
+def alphabet_model(alphabet: Alphabet, t: float) -> Model:
+    return Model(alphabet.scores(t), *gap_logs(t, GAPS[alphabet.name]))
+
+
 class Matrices:
     """Viterbi, or forward, scores of all pairs of sites (the ends included), in logs."""
 
@@ -325,7 +329,7 @@ class Aligned:
     score: float
 
 
-def ancestor(a: Graph, b: Graph, t_left: float, t_right: float, model: Model, rules: Rules = Rules(), band=None) -> Aligned:
+def ancestor(a: Graph, b: Graph, t_left: float, t_right: float, model: Model, rules: Rules = Rules(), band=None, alphabet: Alphabet | None = None) -> Aligned:
     """Aligns two graphs and builds their parent's.
 
     A band holds for the sites that paths lead over. Every site of either child has a place in the parent, also those that the path skips. A parent's state is what the
@@ -360,12 +364,17 @@ def ancestor(a: Graph, b: Graph, t_left: float, t_right: float, model: Model, ru
     right += [*[0] * (a.n - i0), *range(j0 + 1, b.n + 1)]
     left, right = np.array(left, np.int64), np.array(right, np.int64)
     n = len(left)
-    bits = np.zeros(n, np.int64)
     on_left, on_right = left > 0, right > 0
-    lb, rb = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    lb[on_left] = _BITS[a.states[left[on_left] - 1]]
-    rb[on_right] = _BITS[b.states[right[on_right] - 1]]
-    bits = np.where(lb & rb > 0, lb & rb, lb | rb)
+    if alphabet is None:
+        lb, rb = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        lb[on_left] = _BITS[a.states[left[on_left] - 1]]
+        rb[on_right] = _BITS[b.states[right[on_right] - 1]]
+        states = _STATE[np.where(lb & rb > 0, lb & rb, lb | rb)]
+    else:
+        states, both = np.zeros(n, np.int64), on_left & on_right
+        states[on_left] = a.states[left[on_left] - 1]
+        states[on_right & ~on_left] = b.states[right[on_right & ~on_left] - 1]
+        states[both] = alphabet.common(a.states[left[both] - 1], b.states[right[both] - 1])
     edges: dict[tuple[int, int], tuple[float, int, float]] = {}
     for g, to_child, used, t in ((a, left, used_left, t_left), (b, right, used_right, t_right)):
         place = np.zeros(g.n + 2, np.int64)
@@ -387,10 +396,54 @@ def ancestor(a: Graph, b: Graph, t_left: float, t_right: float, model: Model, ru
             edges[key] = (w, unused, age) if old is None else (max(w, old[0]), min(unused, old[1]), min(age, old[2]))
     keys = sorted(edges)
     values = [edges[k] for k in keys]
-    graph = Graph(_STATE[bits], np.array([k[0] for k in keys]), np.array([k[1] for k in keys]), np.array([v[0] for v in values]), np.array([v[1] for v in values]), np.array([v[2] for v in values]))
+    graph = Graph(states, np.array([k[0] for k in keys]), np.array([k[1] for k in keys]), np.array([v[0] for v in values]), np.array([v[1] for v in values]), np.array([v[2] for v in values]))
     return Aligned(graph, left, right, float(found.end))
 
 
+def replayed(x: str, y: str, a: Graph, b: Graph) -> list[tuple[str, int, int]]:
+    """The steps (matrix, i, j) of a known alignment of two chains' letters, given as rows; columns that are gaps in both are left out."""
+    steps, i, j = [], 0, 0
+    for p, q in zip(x, y, strict=True):
+        i, j = i + (p != "-"), j + (q != "-")
+        if p != "-" or q != "-":
+            steps.append(("M" if p != "-" and q != "-" else "X" if p != "-" else "Y", i, j))
+    if (i, j) != (a.n, b.n):
+        raise ValueError("the rows' letters aren't the graphs' sites")
+    return steps
+
+
+def path_score(steps: list[tuple[str, int, int]], a: Graph, b: Graph, model: Model) -> float:
+    """The score of a path through two chains, step by step."""
+    total, before = 0.0, "M"
+    for mat, i, j in steps:
+        first = i + j == 1
+        if mat == "M":
+            total += (2 if before == "M" else 1) * model.match + model.scores[a.states[i - 1], b.states[j - 1]]
+        else:
+            at_end = (j in (0, b.n)) if mat == "X" else (i in (0, a.n))
+            at_start = (i == 1) if mat == "X" else (j == 1)
+            if before == mat and not first:
+                total += model.end if at_end else model.extend
+            else:
+                total += model.open if before != "M" else model.match + (0.0 if at_start else model.open)
+        before = mat
+    return total + (model.match if before == "M" else 0.0)
+
+
+def merged_paths(graphs: list[Graph]) -> Graph:
+    """The graphs that sampled paths gave over the same sites, as one: every edge once, with its highest weight and least disuse."""
+    edges: dict[tuple[int, int], tuple[float, int, float]] = {}
+    for g in graphs:
+        if not np.array_equal(g.states, graphs[0].states):
+            raise ValueError("graphs over other sites")
+        for key, *value in zip(zip(g.src.tolist(), g.dst.tolist(), strict=True), g.weight.tolist(), g.unused.tolist(), g.age.tolist(), strict=True):
+            old = edges.get(key)
+            edges[key] = tuple(value) if old is None else (max(value[0], old[0]), min(value[1], old[1]), min(value[2], old[2]))
+    keys = sorted(edges)
+    src, dst = (np.array([k[i] for k in keys], np.int64) for i in (0, 1))
+    return Graph(graphs[0].states, src, dst, *(np.array([edges[k][i] for k in keys]) for i in range(3)))
+
+
 def aligned_rows(x: str, y: str, steps: list[tuple[str, int, int]]) -> tuple[str, str]:
     """Both sequences of two chains as rows of the same length."""
     return "".join(x[i - 1] if mat in "MX" else "-" for mat, i, _ in steps), "".join(y[j - 1] if mat in "MY" else "-" for mat, _, j in steps)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sedgeline.functions.models import dna_scores
 from sedgeline.functions.sequence import DNA, branch_length
 from sedgeline.operators import kernel
 from sedgeline.operators.trees import ancestry
@@ -132,9 +133,10 @@ def ancestor_rows(maps: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def pairwise(pairs: DataFrame, t: float = 0.2, key: str = "pair_id", total: bool = False) -> DataFrame:
-    """(key, row_a, row_b, score, matched, aligned) of the best alignment of each pair (key, a, b) of sequences.
+    """(key, row_a, row_b, score, rescored, matched, aligned) of the best alignment of each pair (key, a, b) of sequences.
 
-    Pairs are independent; they are spread evenly, whatever their keys. A null sequence counts as an empty one.
+    ``rescored`` is the score of the rows, added up step by step: the one that the matrices promise. Pairs are independent;
+    they are spread evenly, whatever their keys. A null sequence counts as an empty one.
     """
     source = pairs.select(key, F.coalesce("a", F.lit("")).alias("a"), F.coalesce("b", F.lit("")).alias("b")).repartition(_places(pairs))
 
@@ -145,8 +147,24 @@ def pairwise(pairs: DataFrame, t: float = 0.2, key: str = "pair_id", total: bool
             for k, a, b in frame.itertuples(index=False):
                 found = kernel.Matrices(kernel.linear(a), kernel.linear(b), model, total=total)
                 x, y = kernel.aligned_rows(a, b, found.path()[0])
+                again = kernel.path_score(kernel.replayed(x, y, found.a, found.b), found.a, found.b, model)
                 both = [(p, q) for p, q in zip(x, y, strict=True) if p != "-" and q != "-"]
-                out.append((k, x, y, found.end, sum(p == q for p, q in both), len(both)))
-            yield pd.DataFrame(out, columns=[key, "row_a", "row_b", "score", "matched", "aligned"])
+                out.append((k, x, y, found.end, again, sum(p == q for p, q in both), len(both)))
+            yield pd.DataFrame(out, columns=[key, "row_a", "row_b", "score", "rescored", "matched", "aligned"])
 
-    return source.mapInPandas(align, T.StructType([source.schema[key], *T.StructType.fromDDL("row_a string, row_b string, score double, matched int, aligned int")]))
+    return source.mapInPandas(align, T.StructType([source.schema[key], *T.StructType.fromDDL("row_a string, row_b string, score double, rescored double, matched int, aligned int")]))
+
+
+def match_scores(rows: DataFrame, key: str, a: str, b: str, t: float) -> DataFrame:
+    """(key, score, normalised, overlap, identity) of two rows of one alignment: the summed scores of the columns in which both have letters.
+
+    ``normalised`` divides by the first row's score with itself, ``overlap`` counts its letters that are paired, identity those of them
+    that are the same. Letters outside the nucleotide alphabet score nothing; a share of nothing is null.
+    """
+    scores = dna_scores(t)
+    table = F.create_map(*[F.lit(x) for i, p in enumerate(DNA) for j, q in enumerate(DNA) for x in (p + q, float(scores[i, j]))])
+    cells = rows.select(key, F.posexplode(F.arrays_zip(F.split(a, "").alias("x"), F.split(b, "").alias("y"))).alias("i", "c")).select(key, F.col("c.x").alias("x"), F.col("c.y").alias("y")).where("x <> '' and x <> '-'")
+    score = lambda p, q: F.coalesce(F.try_element_at(table, F.concat(p, q)), F.lit(0.0))
+    paired = (F.coalesce("y", F.lit("")) != "") & (F.col("y") != "-")
+    sums = cells.groupBy(key).agg(F.sum(F.when(paired, score(F.col("x"), F.col("y"))).otherwise(0.0)).alias("score"), F.sum(score(F.col("x"), F.col("x"))).alias("own"), F.count_if(paired).alias("n"), F.count_if(paired & (F.col("x") == F.col("y"))).alias("same"), F.count("*").alias("size"))
+    return sums.select(key, F.round("score", 5).alias("score"), F.round(F.try_divide("score", "own"), 5).alias("normalised"), F.round(F.col("n") / F.col("size"), 9).alias("overlap"), F.round(F.try_divide("same", "n"), 9).alias("identity"))

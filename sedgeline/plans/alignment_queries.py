@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedgeline.functions.models import dna_scores
+from sedgeline.functions.sequence import DNA
 from sedgeline.operators import progressive as op
 from sedgeline.operators import ancestors as oc
 from sedgeline.operators import trees as ot
@@ -80,7 +82,7 @@ def e01_branch_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PAIR_SQL = f"""WITH {RECORDS}, e AS (SELECT name, min(seq) AS seq FROM rec GROUP BY name)
-    SELECT anchor_id, a.seq AS ungapped_a, b.seq AS ungapped_b, true AS same_width FROM anchor JOIN e a ON a.name = seq_1 JOIN e b ON b.name = seq_2"""
+    SELECT anchor_id, a.seq AS ungapped_a, b.seq AS ungapped_b, true AS same_width, true AS best_score FROM anchor JOIN e a ON a.name = seq_1 JOIN e b ON b.name = seq_2"""
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -91,18 +93,23 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_PAIR_SQL)
 def a07_pair_alignments(spark: SparkSession, d: str) -> DataFrame:
-    """Each anchor's two records aligned from end to end; what must hold of the rows."""
+    """Each anchor's two records aligned from end to end; what must hold: the rows are the records', and score what the best path does."""
     rows = op.pairwise(_pairs(spark, d), key="anchor_id")
     plain = lambda c: F.replace(F.col(c), F.lit("-"), F.lit(""))
-    return rows.select("anchor_id", plain("row_a").alias("ungapped_a"), plain("row_b").alias("ungapped_b"), (F.length("row_a") == F.length("row_b")).alias("same_width"))
+    return rows.select("anchor_id", plain("row_a").alias("ungapped_a"), plain("row_b").alias("ungapped_b"), (F.length("row_a") == F.length("row_b")).alias("same_width"), (F.abs(F.col("score") - F.col("rescored")) < 1e-6).alias("best_score"))
 
 
-@query(None)
+_SCORES = " ".join(f"WHEN x = '{a}' AND y = '{b}' THEN {float(v):.17g}::DOUBLE" for a, row in zip(DNA, dna_scores(0.2)) for b, v in zip(DNA, row))  # noqa: B905
+
+
+@query(f"""WITH {RECORDS}, e AS (SELECT name, min(seq) AS seq FROM rec GROUP BY name), p AS (SELECT anchor_id, a.seq AS a, b.seq AS b FROM anchor JOIN e a ON a.name = seq_1 JOIN e b ON b.name = seq_2),
+    c AS (SELECT anchor_id, substr(a, CAST(i AS INT), 1) AS x, substr(b, CAST(i AS INT), 1) AS y FROM (SELECT *, unnest(range(1, length(a) + 1)) AS i FROM p)),
+    s AS (SELECT anchor_id, x, y, CASE {_SCORES} ELSE 0 END AS v FROM c), own AS (SELECT anchor_id, sum(CASE {_SCORES} ELSE 0 END) AS own FROM (SELECT anchor_id, x, x AS y FROM c) GROUP BY anchor_id)
+    SELECT anchor_id, round(sum(v), 5) AS score, round(sum(v) / nullif(max(own), 0), 5) AS normalised, round(count(*) FILTER (y <> '') / count(*), 9) AS overlap, round(count(*) FILTER (x = y) / nullif(count(*) FILTER (y <> ''), 0), 9) AS identity
+    FROM s JOIN own USING (anchor_id) GROUP BY anchor_id""")
 def g07_match_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Score, identity and overlap of each anchor's two records, from their alignment."""
-    rows = op.pairwise(_pairs(spark, d), key="anchor_id")
-    n = F.length(F.replace(F.col("row_a"), F.lit("-"), F.lit("")))
-    return rows.select("anchor_id", F.round("score", 6).alias("score"), F.round(F.col("aligned") / n, 6).alias("overlap"), F.round(F.col("matched") / F.col("aligned"), 6).alias("identity"))
+    """Score, its share of the first record's score with itself, overlap and identity of each anchor's two records, laid side by side from the start."""
+    return op.match_scores(_pairs(spark, d), "anchor_id", "a", "b", 0.2)
 
 
 @query(None)

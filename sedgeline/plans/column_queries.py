@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgeline.functions.sequence import BASE_BITS, wrapped
+from sedgeline.functions.sequence import BASE_BITS, STANDARD_CODE, wrapped
 from sedgeline.operators import alignments as oa
 from sedgeline.operators import anchors as an
 from sedgeline.plans.tables import RECORDS, REFERENCES, anchors, records, references, tree
@@ -142,6 +142,26 @@ def w14_g16_whole_events(spark: SparkSession, d: str) -> DataFrame:
     return oa.branch_events(rows, "node_id", "p", "c")
 
 
+_CODONS = ", ".join(f"('{a + b + c}', '{STANDARD_CODE[16 * i + 4 * j + k].replace('*', 'X')}')" for i, a in enumerate("TCAG") for j, b in enumerate("TCAG") for k, c in enumerate("TCAG"))
+_CODON_CELLS = REFERENCES + f""", code AS (SELECT * FROM (VALUES {_CODONS}) c(codon, residue)),
+    pairs AS (SELECT p.node_id, l.seq AS a, r.seq AS b, CAST(3 * ceil(greatest(length(l.seq), length(r.seq)) / 3.0) AS INT) AS n FROM tree_node p JOIN tree_node x ON x.parent_id = p.node_id AND x.side = 'left' JOIN tree_node y ON y.parent_id = p.node_id AND y.side = 'right' JOIN ref l ON l.name = x.name JOIN ref r ON r.name = y.name),
+    rows AS (SELECT node_id, regexp_replace(rpad(a, n, '-'), '(.{{6}})...', '\\1---', 'g') AS p, regexp_replace(rpad(b, n, '-'), '(.{{9}})......', '\\1------', 'g') AS c FROM pairs),
+    units AS (SELECT node_id, unnest(range(1, length(p) // 3 + 1)) AS site, length(p) // 3 AS width, p AS p0, c AS c0 FROM rows),
+    whole AS (SELECT node_id, site, width, substr(p0, CAST(3 * site - 2 AS INT), 3) AS p, substr(c0, CAST(3 * site - 2 AS INT), 3) AS c FROM units),
+    cells AS (SELECT node_id, site, width, CASE WHEN p = '---' THEN '-' ELSE p END AS p, CASE WHEN c = '---' THEN '-' ELSE c END AS c FROM whole)"""
+
+
+@query(f"""WITH {_CODON_CELLS}, {_run_sql('del', 'p', 'c')}, {_run_sql('ins', 'c', 'p')}, subs AS (SELECT cells.*, coalesce(x.residue, 'X') AS rp, coalesce(y.residue, 'X') AS rc FROM cells LEFT JOIN code x ON x.codon = p LEFT JOIN code y ON y.codon = c WHERE p <> '-' AND c <> '-' AND p <> c)
+    SELECT node_id, 'sub' AS kind, site AS first, site AS last, p || ' -> ' || c || ' (' || CASE WHEN rp = rc THEN rp ELSE rp || ' -> ' || rc END || ')' AS change FROM subs UNION ALL SELECT * FROM del UNION ALL SELECT * FROM ins""")
+def e02_codon_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events between the rows of sibling leaves, codon by codon."""
+    t, r = tree(spark, d), references(spark, d).select("name", "seq")
+    side = lambda s, c: t.where(F.col("side") == s).select(F.col("parent_id").alias("node_id"), "name").join(r, "name").select("node_id", F.col("seq").alias(c))
+    both = side("left", "a").join(side("right", "b"), "node_id").withColumn("n", (3 * F.ceil(F.greatest(F.length("a"), F.length("b")) / 3)).cast("int"))
+    rows = both.select("node_id", F.regexp_replace(F.expr("rpad(a, n, '-')"), "(.{6})...", "$1---").alias("p"), F.regexp_replace(F.expr("rpad(b, n, '-')"), "(.{9})......", "$1------").alias("c"))
+    return oa.branch_events(rows, "node_id", "p", "c", 3)
+
+
 _SHARED = f"""WITH {RECORDS}, e AS (SELECT name, min(seq) AS seq FROM rec GROUP BY name), prs AS (SELECT anchor_id, a.seq AS a, b.seq AS b FROM anchor JOIN e a ON a.name = seq_1 JOIN e b ON b.name = seq_2),
     x AS (SELECT anchor_id, p1, substr(a, CAST(p1 AS INT), 12) AS run FROM (SELECT *, unnest(range(1, length(a) - 10)) AS p1 FROM prs)), y AS (SELECT anchor_id, p2, substr(b, CAST(p2 AS INT), 12) AS run FROM (SELECT *, unnest(range(1, length(b) - 10)) AS p2 FROM prs)),
     m AS (SELECT anchor_id, p1, p2, p1 - row_number() OVER (PARTITION BY anchor_id, p1 - p2 ORDER BY p1) AS g FROM x JOIN y USING (anchor_id, run)),
@@ -205,7 +225,7 @@ def _chain(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_CHAIN} SELECT anchor_id, seq_1, seq_2, start_1, start_2, length, score FROM kept")
 def w11_colinear_anchors(spark: SparkSession, d: str) -> DataFrame:
     """The anchors that each pair keeps after crossing ones are dropped."""
-    return _chain(spark, d)
+    return _chain(spark, d).select("anchor_id", "seq_1", "seq_2", "start_1", "start_2", "length", "score")
 
 
 @query(_CONSISTENT)

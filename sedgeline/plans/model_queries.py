@@ -114,3 +114,80 @@ def u01_t08_state_intersections(spark: SparkSession, d: str) -> DataFrame:
     sets = lambda c: F.expr(f"filter(array(1, 2, 4, 8), k -> {c} & k > 0)")
     u = _sibling_columns(spark, d).select(F.size(F.array_intersect(sets("a"), sets("b"))).alias("common"), F.size(F.array_union(sets("a"), sets("b"))).alias("either"))
     return u.groupBy("common", "either").agg(F.count("*").alias("n"))
+
+
+def _values(names: str, rows: list[tuple]) -> str:
+    quoted = ["(" + ", ".join(repr(v) if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else f"{v:.17g}::DOUBLE" for v in r) + ")" for r in rows]
+    return f"(SELECT * FROM (VALUES {', '.join(quoted)}) v({names}))"
+
+
+@query(f"""WITH {_BASES}, q AS (SELECT i.letter AS a, j.letter AS b, j.pi * ({_BETA} + CASE WHEN i.purine <> j.purine THEN 0 WHEN i.purine THEN {_AR} / {_R} ELSE {_AY} / {_Y} END) AS rate FROM base i, base j WHERE i.letter <> j.letter)
+    SELECT a, b, round(rate, 9) AS rate FROM q UNION ALL SELECT a, a, round(-sum(rate), 9) FROM q GROUP BY a""")
+def m01_rate_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of the nucleotide model."""
+    q = fm.dna_rate_matrix(_PI)
+    return spark.createDataFrame([(a, b, round(float(q[i, j]), 9)) for i, a in enumerate("ACGT") for j, b in enumerate("ACGT")], "a string, b string, rate double")
+
+
+#: Distances at which protein and codon probabilities are given.
+_TIMES = (0.05, 0.2, 1.0)
+
+
+def _series_sql(exchange, pi, tokens: list[str]) -> str:
+    """P(t) in SQL as the sum of a Poisson number of jumps (uniformisation), not through eigenvectors."""
+    n = len(tokens)
+    rows = [(i, j, float(exchange[i, j])) for i in range(n) for j in range(n) if exchange[i, j] > 0]
+    freq = [(i, tokens[i], float(pi[i])) for i in range(n)]
+    return f"""WITH RECURSIVE s AS {_values('i, j, s', rows)}, f AS {_values('i, token, pi', freq)},
+        raw AS (SELECT s.i, s.j, s * g.pi AS q FROM s JOIN f g ON g.i = s.j), mean AS (SELECT sum(f.pi * q) AS m FROM raw JOIN f USING (i)),
+        rate AS (SELECT i, j, q / m AS q FROM raw, mean), total AS (SELECT i, sum(q) AS q FROM rate GROUP BY i), mu AS (SELECT max(q) AS mu FROM total),
+        jump AS MATERIALIZED (SELECT i, j, q / mu AS r FROM rate, mu UNION ALL SELECT i, i, 1 - q / mu FROM total, mu),
+        power AS (SELECT 0 AS k, i, i AS j, 1.0::DOUBLE AS v FROM f UNION ALL SELECT k, i, j, v FROM (SELECT p.k + 1 AS k, p.i, jump.j, sum(p.v * jump.r) AS v FROM power p JOIN jump ON jump.i = p.j WHERE p.k < 40 GROUP BY p.k, p.i, jump.j)),
+        times AS (SELECT unnest({list(_TIMES)})::DOUBLE AS t), w AS (SELECT t, k, exp(-mu * t + k * ln(mu * t) - lgamma(k + 1)) AS w FROM times, mu, (SELECT DISTINCT k FROM power))
+        SELECT t, a.token AS a, b.token AS b, round(sum(w * v), 7) AS p FROM power JOIN w USING (k) JOIN f a ON a.i = power.i JOIN f b ON b.i = power.j GROUP BY t, a.token, b.token"""
+
+
+def _matrices(spark: SparkSession, exchange, pi, tokens: list[str]) -> DataFrame:
+    def rows(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for t in frame["t"]:
+                p = fm.reversible_matrix(exchange, pi, t)
+                yield pd.DataFrame([(t, a, b, p[i, j]) for i, a in enumerate(tokens) for j, b in enumerate(tokens)], columns=["t", "a", "b", "p"])
+
+    times = spark.createDataFrame([(t,) for t in _TIMES], "t double")
+    return times.mapInPandas(rows, "t double, a string, b string, p double").withColumn("p", F.round("p", 7))
+
+
+@query(_series_sql(*fm.protein_model(), list(fs.AMINO_ACIDS)))
+def m03_protein_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    """Probabilities of the empirical protein model."""
+    return _matrices(spark, *fm.protein_model(), list(fs.AMINO_ACIDS))
+
+
+@query(_series_sql(*fm.codon_model(), fm.CODONS))
+def m04_codon_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    """Probabilities of the codon model with one rate for transitions and one for changes of the residue."""
+    return _matrices(spark, *fm.codon_model(), fm.CODONS)
+
+
+_FREQUENCIES = list(zip(fs.AMINO_ACIDS, map(float, fm.protein_model()[1]), strict=True))
+
+
+@query(f"WITH f AS {_values('token, pi', _FREQUENCIES)} SELECT x.token AS a, y.token AS b, CASE WHEN x.pi >= y.pi THEN x.token ELSE y.token END AS likely FROM f x, f y")
+def m10_most_common(spark: SparkSession, d: str) -> DataFrame:
+    """Which of two residues a parent of both most probably was."""
+    import numpy as np
+
+    p = fm.PROTEIN
+    n = len(p.tokens)
+    pairs = [(i, j) for i in range(n) for j in range(n)]
+    i, j = (np.array(x) for x in zip(*pairs, strict=True))
+    return spark.createDataFrame([(p.tokens[a], p.tokens[b], p.tokens[k]) for (a, b), k in zip(pairs, p.likely(p.common(i, j)), strict=True)], "a string, b string, likely string")
+
+
+@query(f"SELECT * FROM {_values('molecule, insertion, deletion, extension, end_extension', [('dna', 0.01, 0.01, 0.8, 0.95), ('pacbio', 1.0, 1.0, 0.1, 0.95), ('protein', 0.05, 0.05, 0.5, 0.75), ('codon', 0.01, 0.01, 0.5, 0.75)])}")
+def m11_presets(spark: SparkSession, d: str) -> DataFrame:
+    """The gap models by molecule."""
+    return spark.createDataFrame([(k, g.insertion, g.deletion, g.extension, g.end_extension) for k, g in fm.GAPS.items()], "molecule string, insertion double, deletion double, extension double, end_extension double")

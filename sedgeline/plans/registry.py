@@ -34,6 +34,7 @@ _INTEGERS = {
     "g14_gaps_per_column": ["site"],
     "w14_g16_events": ["first", "last"],
     "w14_g16_whole_events": ["first", "last"],
+    "e02_codon_events": ["first", "last"],
     "j10_shared_substrings": ["start_1", "start_2", "length"],
     "w10_a04_prefix_anchors": ["start_1", "start_2", "length"],
 }

@@ -39,7 +39,7 @@ def test_models():
             p = fm.dna_matrix(t, pi)
             assert np.allclose(p.sum(1), 1) and np.allclose(np.array(pi) @ p, pi)
             assert np.allclose(fm.dna_matrix(t / 2, pi) @ fm.dna_matrix(t / 2, pi), p)
-    exchange, pi = fm.protein_exchange()
+    exchange, pi = fm.protein_model()
     p = fm.reversible_matrix(exchange, pi, 0.3)
     assert np.allclose(p.sum(1), 1) and np.allclose(pi[:, None] * p, (pi[:, None] * p).T) and np.allclose(fm.reversible_matrix(exchange, pi, 0.0), np.eye(20))
 
