@@ -51,9 +51,15 @@ def _codons(c: Column, per) -> Column:
 
 def translate_codons(c: Column, code: str = STANDARD_CODE) -> Column:
     """Residues of the codons from the first letter on. Stops, unknown codons and a codon cut short are X; --- is a gap."""
-    known = {a + b + d: r for (a, b, d), r in zip(((a, b, d) for a in "TCAG" for b in "TCAG" for d in "TCAG"), code, strict=True) if r != "*"}
-    table = F.create_map(*[F.lit(x) for kv in (known | {"---": "-"}).items() for x in kv])
-    return _codons(c, lambda codon: F.coalesce(F.element_at(table, codon), F.lit("X")))
+    residues = F.lit(code.replace("*", "X"))
+    base = lambda codon, k: F.call_function("instr", F.lit("TCAG"), F.substring(codon, k, 1))
+
+    def residue(codon: Column) -> Column:
+        i, j, k = (base(codon, n) for n in (1, 2, 3))
+        whole = (F.length(codon) == 3) & (i > 0) & (j > 0) & (k > 0)
+        return F.when(whole, F.call_function("substring", residues, 16 * i + 4 * j + k - 20, F.lit(1))).when(codon == "---", "-").otherwise("X")
+
+    return _codons(c, residue)
 
 
 def known_codons(c: Column, code: str = STANDARD_CODE) -> Column:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedgeline.operators.progressive import _places
+
 from sedgeline.functions.models import dna_matrix
 from sedgeline.functions.sequence import BASE_BITS, DNA
 
@@ -88,7 +90,7 @@ def _likely(pi: tuple[float, float, float, float]):
 def _grouped(tree: DataFrame, rows: DataFrame, function) -> DataFrame:
     kind = tree.schema["tree"].dataType.simpleString()
     joined = tree.select("tree", "node_id", "parent_id", "branch_length").join(rows.select("node_id", "row"), "node_id", "left")
-    return joined.groupBy("tree").applyInPandas(function, f"tree {kind}, node_id int, row string")
+    return joined.repartition(_places(joined), "tree").groupBy("tree").applyInPandas(function, f"tree {kind}, node_id int, row string")
 
 
 def parsimony_rows(tree: DataFrame, rows: DataFrame) -> DataFrame:
@@ -139,7 +141,7 @@ def guide_trees(seqs: DataFrame, group: str, name: str, seq: str, k: int = 6) ->
         return pd.DataFrame([(frame["g"].iloc[0], *r) for r in rows], columns=[group, "node_id", "parent_id", "name", "branch_length"])
 
     source = seqs.select(F.col(group).alias("g"), F.col(name).alias("n"), F.col(seq).alias("s")).where("g is not null and n is not null and s is not null")
-    return source.groupBy("g").applyInPandas(build, f"{group} {kind}, node_id int, parent_id int, name {label}, branch_length double")
+    return source.repartition(_places(source), "g").groupBy("g").applyInPandas(build, f"{group} {kind}, node_id int, parent_id int, name {label}, branch_length double")
 
 
 def distant_leaves(distances: DataFrame, n: int) -> list[int]:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedgeline.operators import kernel
 from sedgeline.operators.intervals import covered_periods
 
 
@@ -131,7 +134,7 @@ def band(anchors: list[tuple[int, int, int]], n: int, m: int, offset: int = 15,
     With a ``limit`` on the blocks' cells, the largest blocks are led around by gaps (first along the one sequence, then the other)
     until the rest fits.
     """
-    lo, hi = [0] * (n + 1), [m] * (n + 1)
+    lo, hi = [m] * (n + 1), [0] * (n + 1)
     ends = [(0, 0)] + [p for s1, s2, k in sorted(anchors) for p in ((s1, s2), (s1 + k, s2 + k))] + [(n, m)]
     blocks = [(x0, y0, x1, y1, x1 - x0 == y1 - y0 and x1 > x0) for (x0, y0), (x1, y1) in zip(ends, ends[1:], strict=False)]
     area = [0 if diagonal else max(x1 - x0, 0) * max(y1 - y0, 0) for x0, y0, x1, y1, diagonal in blocks]
@@ -142,8 +145,8 @@ def band(anchors: list[tuple[int, int, int]], n: int, m: int, offset: int = 15,
         around.add(k)
     for k, (x0, y0, x1, y1, diagonal) in enumerate(blocks):
         for x in range(x0, x1 + 1):
-            lo[x] = max(0, (y0 + x - x0 if diagonal else y0) - offset)
-            hi[x] = min(m, (y0 + x - x0 if diagonal else y0 if k in around and x < x1 else y1) + offset)
+            lo[x] = min(lo[x], max(0, (y0 + x - x0 if diagonal else y0) - offset))
+            hi[x] = max(hi[x], min(m, (y0 + x - x0 if diagonal else y0 if k in around and x < x1 else y1) + offset))
     for x in range(1, n + 1):
         hi[x] = max(hi[x], hi[x - 1])
     for x in range(n - 1, -1, -1):
@@ -157,3 +160,60 @@ def covered_share(anchors: DataFrame, key: list[str], size: str) -> DataFrame:
     sizes = placed.groupBy("k").agg(F.max(size).alias("size"))
     covered = covered_periods(placed, "k", "s", "e").where("kind = 'period'").groupBy("k").agg(F.sum(F.col("seg_end") - F.col("seg_start")).alias("n"))
     return covered.join(sizes, "k").select("k.*", (F.col("n") / F.col("size")).alias("share"))
+
+
+#: Letters of the substrings that long sequences are anchored by, and the cells of a pair beyond which they are.
+_ANCHOR, _WHOLE_CELLS = 16, 1 << 20
+
+
+def unique_anchors(x: str, y: str, k: int = _ANCHOR) -> list[tuple[int, int, int]]:
+    """A colinear chain of substrings of k letters that stand once in each of two sequences: (start_1, start_2, length), runs joined."""
+
+    def once(s: str) -> dict[str, int]:
+        seen: dict[str, int] = {}
+        for i in range(len(s) - k + 1):
+            w = s[i : i + k]
+            seen[w] = -1 if w in seen else i
+        return seen
+
+    there = once(y)
+    met = [(i, there[w]) for w, i in once(x).items() if i >= 0 and there.get(w, -1) >= 0]
+    met.sort()
+    # The longest ascending subsequence.
+    tails: list[int] = []
+    ends: list[int] = []
+    before = [-1] * len(met)
+    for p, (_, j) in enumerate(met):
+        at = bisect.bisect_left(tails, j)
+        if at == len(tails):
+            tails.append(j)
+            ends.append(p)
+        else:
+            tails[at], ends[at] = j, p
+        before[p] = ends[at - 1] if at else -1
+    chain, p = [], ends[-1] if ends else -1
+    while p >= 0:
+        chain.append(met[p])
+        p = before[p]
+    out: list[tuple[int, int, int]] = []
+    for i, j in chain[::-1]:
+        if out and i - out[-1][0] == j - out[-1][1] and i <= out[-1][0] + out[-1][2]:
+            out[-1] = (out[-1][0], out[-1][1], i + k - out[-1][0])
+        elif not out or i >= out[-1][0] + out[-1][2] and j >= out[-1][1] + out[-1][2]:
+            out.append((i, j, k))
+    return out
+
+
+def tunnel(x: str, y: str, offset: int = 15, limit: int = 1 << 28) -> tuple[list[int], list[int]] | None:
+    """The band in which two sequences are aligned: around the substrings that they share, with the largest empty blocks led around by
+    gaps if more than ``limit`` cells are left. None, that is all of it, for pairs of at most _WHOLE_CELLS cells."""
+    if len(x) * len(y) <= _WHOLE_CELLS:
+        return None
+    return band(unique_anchors(x, y), len(x), len(y), offset, limit)
+
+
+def aligned(x: str, y: str, model: kernel.Model) -> tuple[list[tuple[str, int, int]], float]:
+    """The best path of two sequences, within their tunnel if they are long, and its score."""
+    a, b = kernel.linear(x).states, kernel.linear(y).states
+    steps, score = kernel.chain_path(a, b, model, tunnel(x, y))
+    return (steps, score) if np.isfinite(score) else kernel.chain_path(a, b, model)

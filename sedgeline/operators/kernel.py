@@ -453,3 +453,67 @@ def symmetric(g: Graph) -> bool:
     """Whether every edge leads forward between sites that exist, and none is there twice."""
     inside = (g.src >= 0) & (g.dst <= g.n + 1) & (g.src < g.dst)
     return bool(inside.all()) and len(set(zip(g.src.tolist(), g.dst.tolist(), strict=True))) == len(g.src)
+
+
+def chain_path(a: np.ndarray, b: np.ndarray, model: Model, band: tuple[list[int], list[int]] | None = None) -> tuple[list[tuple[str, int, int]], float]:
+    """The best path of two chains of states and its score, as ``Matrices`` finds it, in a row's memory and three bytes a cell of the band."""
+    n, m = len(a), len(b)
+    lo, hi = band if band is not None else ([0] * (n + 1), [m] * (n + 1))
+    rows = [[np.full(m + 2, NO) for _ in range(3)] for _ in range(2)]  # place 0 stands before the first site
+    ways: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    gap_ends = np.full(m + 1, model.extend)
+    gap_ends[[0, m]] = model.end
+    scores, steps_right = model.scores, np.arange(m + 1)
+    sites = b[np.maximum(steps_right - 1, 0)] if m else None
+    for i in range(n + 1):
+        (M, X, Y), (P, Q, R) = rows[i % 2], rows[1 - i % 2]
+        x0, x1 = lo[i], hi[i] + 1
+        if i > 1:
+            for row in (M, X, Y):
+                row[lo[i - 2] + 1 : hi[i - 2] + 2] = NO
+        if i:
+            top, from_m = _first_best(P[x0:x1] + 2 * model.match, Q[x0:x1] + model.match, R[x0:x1] + model.match)
+            # The first column has no site of the right chain.
+            M[x0 + 1 : x1 + 1] = top + scores[a[i - 1]][sites[x0:x1]] if m else NO
+            if x0 == 0:
+                M[1] = NO
+            X[x0 + 1 : x1 + 1], from_x = _first_best(Q[x0 + 1 : x1 + 1] + gap_ends[x0:x1], R[x0 + 1 : x1 + 1] + model.open, P[x0 + 1 : x1 + 1] + (model.match + (0.0 if i == 1 else model.open)))
+        else:
+            M[1] = 0.0
+            from_m = from_x = np.zeros(x1 - x0, np.int8)
+        x = model.end if i in (0, n) else model.extend
+        by_x, by_m = X[x0:x1] + model.open, M[x0:x1] + (model.match + model.open)
+        if x0 == 0:
+            if x1 > 1:
+                by_m[1] = M[1] + model.match
+            by_x[0] = by_m[0] = NO
+        base = np.maximum(by_x, by_m)
+        slope = steps_right[: x1 - x0] * x
+        run = np.maximum.accumulate(base - slope) + slope
+        Y[x0 + 1 : x1 + 1] = run
+        from_y = (by_x < base - 1e-9).astype(np.int8) + 1
+        from_y[1:][run[:-1] + x >= base[1:] - 1e-9] = 0
+        ways.append((from_m, from_x, from_y))
+    M, X, Y = rows[n % 2]
+    ends = np.array([M[m + 1] + model.match, X[m + 1], Y[m + 1]])
+    if not np.isfinite(ends.max()):
+        return [], NO
+    at, i, j = int(np.flatnonzero(ends >= ends.max() - 1e-9)[0]), n, m
+    steps = []
+    # What each number of a matrix's ways leads to: 0, 1 and 2 are M, X and Y.
+    leads = ((0, 1, 2), (1, 2, 0), (2, 1, 0))
+    while i or j:
+        steps.append(("MXY"[at], i, j))
+        k = leads[at][int(ways[i][at][j - lo[i]])]
+        i, j = i - (at != 2), j - (at != 1)
+        at = k
+    return steps[::-1], float(ends.max())
+
+
+def _first_best(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best of three rows, place by place, and the first of them that is as good."""
+    top = np.maximum(np.maximum(first, second), third)
+    low = top - 1e-9
+    which = (first < low).astype(np.int8)
+    which += (first < low) & (second < low)
+    return top, which

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from sedgeline.functions.sequence import reverse_complement
 from sedgeline.operators import kernel
-from sedgeline.operators.anchors import band
-from sedgeline.operators.hits import best_with_ties, merged_hits
+from sedgeline.operators.anchors import aligned, band
+from sedgeline.operators.hits import best_with_ties, best_without_ties, merged_hits
 from sedgeline.operators.progressive import _places
 
 
@@ -63,7 +63,7 @@ def placements(hits: DataFrame, queries: DataFrame, targets: DataFrame, options:
             out = []
             for query, node, turned_, x, y in frame.itertuples(index=False):
                 a, b = kernel.linear(x), kernel.linear(y)
-                steps, _, _ = kernel.Matrices(a, b, model).path()
+                steps, _ = aligned(x, y, model)
                 on = [(i, j) for mat, i, j in steps if mat == "M"]
                 i, j = (np.array(v, int) for v in zip(*on, strict=True)) if on else (np.zeros(0, int), np.zeros(0, int))
                 pairs_score = model.scores[a.states[i - 1], b.states[j - 1]].sum() if len(i) else 0.0
@@ -104,7 +104,7 @@ def pileup(reads: DataFrame, group: str, order: str, seq: str, options: Placemen
             consensus = "".join(max(sorted(set(v.values())), key=list(v.values()).count) for v in columns)
             best = None
             for text in (s, _turned(s)):
-                steps, _, _ = kernel.Matrices(kernel.linear(consensus), kernel.linear(text), model).path()
+                steps, _ = aligned(consensus, text, model)
                 on = [(i, j) for mat, i, j in steps if mat == "M"]
                 overlap, identity = len(on) / max(len(text), 1), sum(consensus[i - 1] == text[j - 1] for i, j in on) / max(len(on), 1)
                 if best is None or identity * overlap > best[0]:
@@ -124,7 +124,7 @@ def pileup(reads: DataFrame, group: str, order: str, seq: str, options: Placemen
         return pd.DataFrame({group: frame["g"], order: frame["o"], "row": rows, "used": [out.get(k, False) for k in range(len(frame))]})
 
     source = reads.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(seq).alias("s")).where("g is not null and s <> ''")
-    return source.groupBy("g").applyInPandas(grow, f"{group} {key}, {order} {place}, row string, used boolean")
+    return source.repartition(_places(source), "g").groupBy("g").applyInPandas(grow, f"{group} {key}, {order} {place}, row string, used boolean")
 
 
 def _turned(s: str) -> str:
@@ -136,3 +136,37 @@ def banded_pair(x: str, y: str, anchors: list[tuple[int, int, int]], model: kern
     lo, hi = band(anchors, len(x), len(y), offset)
     found = kernel.Matrices(kernel.linear(x), kernel.linear(y), model, band=(np.array(lo), np.array(hi)))
     return found if np.isfinite(found.end) else kernel.Matrices(kernel.linear(x), kernel.linear(y), model)
+
+
+def placement_mode(pileup: bool = False, find_orfs: bool = False, fragments: bool = False, one_by_one: bool = False) -> str:
+    """How reads are placed under these options: a pile needs no tree, ORFs stand in for their reads, and the hits' best target is the default."""
+    if pileup:
+        return "pileup-orf" if find_orfs else "pileup"
+    base = "fragments" if fragments else "one-by-one" if one_by_one else "search"
+    return f"{base}-orf" if find_orfs else base
+
+
+def orf_queries(orfs: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name, comment, translation) of ORFs (key, name, frame, start, end, translation) as queries of their own, numbered by frame and place.
+
+    The comment tells frame, start and end, counted from 1.
+    """
+    k = F.row_number().over(Window.partitionBy(key).orderBy("frame", "start"))
+    comment = F.concat(F.lit("["), "frame", F.lit("."), F.col("start") + 1, F.lit("."), F.col("end") + 1, F.lit("]"))
+    return orfs.select(key, F.concat(name, F.lit("_orf"), k).alias("name"), comment.alias("comment"), "translation")
+
+
+def best_orfs(orfs: DataFrame, reads: DataFrame, key: str, seq: str) -> DataFrame:
+    """(key, frame, start, end, orf): the letters of each read's longest ORF, on the strand that it reads; of equals the first frame and place."""
+    best = orfs.groupBy(key).agg(F.min_by(F.struct("frame", "start", "end"), F.struct(-(F.col("end") - F.col("start")), "frame", "start")).alias("b")).select(key, "b.*")
+    letters = F.expr(f"substring({seq}, start + 1, end - start + 1)")
+    return best.join(reads.select(key, seq), key).select(key, "frame", "start", "end", F.when(F.col("frame") > 0, letters).otherwise(reverse_complement(letters)).alias("orf"))
+
+
+def preselected(hits: DataFrame, queries: DataFrame, tree: DataFrame, n: int = 10) -> DataFrame:
+    """(query, node, score, place): the n best targets of each query by its hits, among the nodes of its taxon, or all where no node has it."""
+    tagged = tree.where("tid <> ''").select("tid").distinct().withColumn("known", F.lit(True))
+    q = queries.join(tagged, "tid", "left").select("query", F.when(F.col("known"), F.col("tid")).alias("want")).distinct()
+    nodes = tree.select(F.col("name").alias("node"), F.col("tid").alias("has"))
+    open_ = hits.join(q, "query").join(nodes, "node").where(F.col("want").isNull() | (F.col("want") == F.col("has"))).select("query", "node", "score").distinct()
+    return best_without_ties(open_, "query", "score", "node", n)

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from sedgeline.functions.models import dna_scores
 from sedgeline.functions.sequence import DNA, branch_length
 from sedgeline.operators import kernel
+from sedgeline.operators.anchors import aligned
 from sedgeline.operators.trees import ancestry
 from sedgeline.workspace import stored
 
@@ -145,11 +146,14 @@ def pairwise(pairs: DataFrame, t: float = 0.2, key: str = "pair_id", total: bool
         for frame in frames:
             out = []
             for k, a, b in frame.itertuples(index=False):
-                found = kernel.Matrices(kernel.linear(a), kernel.linear(b), model, total=total)
-                x, y = kernel.aligned_rows(a, b, found.path()[0])
-                again = kernel.path_score(kernel.replayed(x, y, found.a, found.b), found.a, found.b, model)
+                ga, gb = kernel.linear(a), kernel.linear(b)
+                steps, score = aligned(a, b, model)
+                x, y = kernel.aligned_rows(a, b, steps)
+                again = kernel.path_score(kernel.replayed(x, y, ga, gb), ga, gb, model)
+                if total:
+                    score = kernel.Matrices(ga, gb, model, total=True).end
                 both = [(p, q) for p, q in zip(x, y, strict=True) if p != "-" and q != "-"]
-                out.append((k, x, y, found.end, again, sum(p == q for p, q in both), len(both)))
+                out.append((k, x, y, score, again, sum(p == q for p, q in both), len(both)))
             yield pd.DataFrame(out, columns=[key, "row_a", "row_b", "score", "rescored", "matched", "aligned"])
 
     return source.mapInPandas(align, T.StructType([source.schema[key], *T.StructType.fromDDL("row_a string, row_b string, score double, rescored double, matched int, aligned int")]))

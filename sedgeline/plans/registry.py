@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedgeline.plans import alignment_queries, column_queries, format_queries, intervals_queries, model_queries, relational_queries, scalar_queries
+from sedgeline.plans import alignment_queries, column_queries, format_queries, intervals_queries, model_queries, placement_queries, relational_queries, scalar_queries
 
-_MODULES = [intervals_queries, scalar_queries, relational_queries, model_queries, alignment_queries, column_queries, format_queries]
+_MODULES = [intervals_queries, scalar_queries, relational_queries, model_queries, alignment_queries, column_queries, format_queries, placement_queries]
 
 #: Columns that are 32-bit integers in the queries, where SQL counts in 64 bits.
 _INTEGERS = {
@@ -34,6 +34,7 @@ _INTEGERS = {
     "g14_gaps_per_column": ["site"],
     "w14_g16_events": ["first", "last"],
     "w14_g16_whole_events": ["first", "last"],
+    "r10_preselection": ["place"],
     "e02_codon_events": ["first", "last"],
     "j10_shared_substrings": ["start_1", "start_2", "length"],
     "w10_a04_prefix_anchors": ["start_1", "start_2", "length"],

@@ -121,6 +121,19 @@ def f24_edge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("node_id", F.round(F.sqrt("w"), 9).alias("square"), F.round(F.cbrt("w"), 9).alias("cube"), F.col("w").alias("plain"))
 
 
+_CODE = _sql_map([p for p in _PAIRS if p[1] != "*"])
+
+
+def orf_sql(source: str, key: str, least: int) -> str:
+    """CTEs that end in ``found`` (key, frame, start, end, translation): the ORFs of a table (key, seq), by counting codons."""
+    return f"""strands AS (SELECT {key}, 1 AS sign, seq AS s FROM {source} UNION ALL SELECT {key}, -1, reverse(translate(seq, 'ACGTRYKMBVDH', 'TGCAYRMKVBHD')) FROM {source}),
+        frames AS (SELECT {key}, sign, f, length(s) AS n, substr(s, f + 1) AS t FROM strands, (VALUES (0), (1), (2)) x(f)),
+        codons AS (SELECT {key}, sign, f, n, j, coalesce({_CODE}[substr(t, CAST(j AS INT) * 3 + 1, 3)], 'X') AS aa FROM (SELECT *, unnest(range(0, CAST(ceil(length(t) / 3.0) AS INT))) AS j FROM frames)),
+        good AS (SELECT *, j - row_number() OVER (PARTITION BY {key}, sign, f ORDER BY j) AS g FROM codons WHERE aa <> 'X'),
+        runs AS (SELECT {key}, sign, f, n, min(j) * 3 + f AS a, max(j) * 3 + f + 2 AS b, string_agg(aa, '' ORDER BY j) AS translation FROM good GROUP BY {key}, sign, f, n, g HAVING count(*) >= {least}),
+        found AS (SELECT {key}, sign * (f + 1) AS frame, CASE WHEN sign = 1 THEN a ELSE n - 1 - b END AS start, CASE WHEN sign = 1 THEN b ELSE n - 1 - a END AS "end", translation FROM runs)"""
+
+
 def orfs(df: DataFrame, key: str, seq: str, least: int = 50) -> DataFrame:
     """Stop-free runs of at least ``least`` known codons in the six frames: (key, frame, start, end, translation).
 
@@ -130,9 +143,12 @@ def orfs(df: DataFrame, key: str, seq: str, least: int = 50) -> DataFrame:
     strands = both.select("k", "n", F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("fwd").alias("s")), F.struct(F.lit(-1).alias("sign"), F.col("rev").alias("s")))).alias("x"))
     frames = strands.select("k", "n", "x.sign", "x.s", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("f"))
     framed = frames.withColumn("aa", fs.translate_codons(F.expr("substring(s, f + 1, n)")))
-    runs = framed.select("k", "n", "sign", "f", F.posexplode(F.split("aa", "X")).alias("part", "orf"), F.split("aa", "X").alias("cut"))
-    before = F.expr("aggregate(slice(cut, 1, part), 0, (s, x) -> s + length(x) + 1)")
-    placed = runs.where(F.length("orf") >= least).withColumn("a", before * 3 + F.col("f")).withColumn("b", F.col("a") + F.length("orf") * 3 - 1)
+    # The runs, and what stands before each: only as many array elements as there are long runs.
+    pattern = f"([^X]{{{least},}})"
+    cut = framed.where(F.col("aa").rlike(pattern)).select("k", "n", "sign", "f", F.regexp_extract_all("aa", F.lit(pattern), 1).alias("orfs"), F.split("aa", pattern).alias("between"))
+    before = F.expr("aggregate(slice(between, 1, part + 1), 0, (s, x) -> s + length(x)) + aggregate(slice(orfs, 1, part), 0, (s, x) -> s + length(x))")
+    runs = cut.select("k", "n", "sign", "f", "orfs", "between", F.posexplode("orfs").alias("part", "orf"))
+    placed = runs.withColumn("a", before * 3 + F.col("f")).withColumn("b", F.col("a") + F.length("orf") * 3 - 1)
     forward = F.col("sign") == 1
     return placed.select(F.col("k").alias(key), (F.col("sign") * (F.col("f") + 1)).alias("frame"), F.when(forward, F.col("a")).otherwise(F.col("n") - 1 - F.col("b")).alias("start"), F.when(forward, F.col("b")).otherwise(F.col("n") - 1 - F.col("a")).alias("end"), F.col("orf").alias("translation"))
 
@@ -143,7 +159,6 @@ def f11_orfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"f13_states": f13_states, "f14_linear_graph": f14_linear_graph, "w13_run_lengths": w13_run_lengths, "f15_flow_skip_edges": f15_flow_skip_edges, "f16_homopolymer_skip_edges": f16_homopolymer_skip_edges, "f24_edge_weights": f24_edge_weights, "f11_orfs": f11_orfs}
-_CODE = _sql_map([p for p in _PAIRS if p[1] != "*"])
 ORACLE_SQL |= {
     "f13_states": f"WITH {RECORDS}, l AS (SELECT unnest(string_split(seq, '')) AS letter FROM rec) SELECT letter, instr('{fs.DNA}', letter) - 1 AS state, count(*) AS n FROM l WHERE letter <> '' GROUP BY letter",
     "f14_linear_graph": f"WITH {REFERENCES}, c AS (SELECT name, seq, unnest(range(0, length(seq))) AS i FROM ref) SELECT name, i + 1 AS site, substr(seq, CAST(i AS INT) + 1, 1) AS letter, i AS edge_from, 1.0::DOUBLE AS weight FROM c",
@@ -151,18 +166,11 @@ ORACLE_SQL |= {
     "f15_flow_skip_edges": f"WITH {_RUNS} SELECT entry_id, last - 1 AS edge_from, last + 1 AS edge_to, 0.9::DOUBLE AS weight FROM runs WHERE run > 2 UNION ALL SELECT entry_id, last - 2, last + 1, 0.9::DOUBLE FROM runs WHERE run >= 5",
     "f16_homopolymer_skip_edges": f"WITH {_RUNS}, s AS (SELECT entry_id, last, unnest(range(1, run)) AS skip FROM runs WHERE run >= 2) SELECT entry_id, last - skip AS edge_from, last + 1 AS edge_to, 0.25::DOUBLE AS weight FROM s",
     "f24_edge_weights": "SELECT node_id, round(sqrt(branch_length), 9) AS square, round(cbrt(branch_length), 9) AS cube, branch_length AS plain FROM tree_node WHERE branch_length >= 0",
-    "f11_orfs": f"""
-        WITH {RECORDS},
-        strands AS (SELECT entry_id, 1 AS sign, seq AS s FROM rec UNION ALL SELECT entry_id, -1, reverse(translate(seq, 'ACGTRYKMBVDH', 'TGCAYRMKVBHD')) FROM rec),
-        frames AS (SELECT entry_id, sign, f, length(s) AS n, substr(s, f + 1) AS t FROM strands, (VALUES (0), (1), (2)) x(f)),
-        codons AS (SELECT entry_id, sign, f, n, j, coalesce({_CODE}[substr(t, CAST(j AS INT) * 3 + 1, 3)], 'X') AS aa FROM (SELECT *, unnest(range(0, CAST(ceil(length(t) / 3.0) AS INT))) AS j FROM frames)),
-        good AS (SELECT *, j - row_number() OVER (PARTITION BY entry_id, sign, f ORDER BY j) AS g FROM codons WHERE aa <> 'X'),
-        found AS (SELECT entry_id, sign, f, n, min(j) * 3 + f AS a, max(j) * 3 + f + 2 AS b, string_agg(aa, '' ORDER BY j) AS translation FROM good GROUP BY entry_id, sign, f, n, g HAVING count(*) >= 50)
-        SELECT entry_id, sign * (f + 1) AS frame, CASE WHEN sign = 1 THEN a ELSE n - 1 - b END AS start, CASE WHEN sign = 1 THEN b ELSE n - 1 - a END AS "end", translation FROM found
-    """,
+    "f11_orfs": f"WITH {RECORDS}, {orf_sql('rec', 'entry_id', 50)} SELECT * FROM found",
 }
 
 
+
 _each("s07_translate_on_read", lambda: [fs.rna_to_dna(_seq()).alias("dna_sequence"), fs.translate_codons(fs.rna_to_dna(_seq())).alias("sequence")],
       "replace(seq, 'U', 'T') AS dna_sequence, " + _sql_codons("replace(seq, 'U', 'T')", "coalesce(" + _sql_map([p for p in _PAIRS if p[1] != "*"]) + "[{c}], 'X')") + " AS sequence")
 _each("k10_back_translated_rows", lambda: [fs.back_translate(F.regexp_replace(fs.translate_codons(_seq()), "(.{5})", "$1-"), _seq()).alias("row")],
