@@ -51,15 +51,19 @@ def _codons(c: Column, per) -> Column:
 
 def translate_codons(c: Column, code: str = STANDARD_CODE) -> Column:
     """Residues of the codons from the first letter on. Stops, unknown codons and a codon cut short are X; --- is a gap."""
-    residues = F.lit(code.replace("*", "X"))
-    base = lambda codon, k: F.call_function("instr", F.lit("TCAG"), F.substring(codon, k, 1))
-
-    def residue(codon: Column) -> Column:
-        i, j, k = (base(codon, n) for n in (1, 2, 3))
-        whole = (F.length(codon) == 3) & (i > 0) & (j > 0) & (k > 0)
-        return F.when(whole, F.call_function("substring", residues, 16 * i + 4 * j + k - 20, F.lit(1))).when(codon == "---", "-").otherwise("X")
-
-    return _codons(c, residue)
+    # Bases as digits: a codon is then a number of three digits, which is its residue's place in a string.
+    table = ["X"] * 334
+    for k, residue in enumerate(code):
+        table[100 * (k // 16) + 10 * (k // 4 % 4) + k % 4] = residue.replace("*", "X")
+    residues = F.lit("".join(table))
+
+    def spelled(digits: Column) -> Column:
+        codons = F.regexp_extract_all(digits, F.lit("(?s)(...)"), F.lit(1))  # one pass, however long the sequence
+        letter = lambda codon: F.coalesce(F.substring(residues, codon.try_cast("int") + 1, F.lit(1)), F.when(codon == "~~~", "-").otherwise("X"))
+        each = F.array_join(F.transform(codons, letter), "")
+        return F.when(F.length(digits) % 3 == 0, each).otherwise(F.concat(each, F.lit("X")))
+
+    return _let(F.translate(c, "TCAG-+. ", "0123~~~~"), spelled)
 
 
 def known_codons(c: Column, code: str = STANDARD_CODE) -> Column:

@@ -61,7 +61,7 @@ _BEST_ORF = f"""{_FAMILIES}, {orf_sql('members', 'node_id', 20)}, best AS (SELEC
 @query(f"{_BEST_ORF} SELECT node_id, CASE WHEN frame > 0 THEN s ELSE reverse(translate(s, 'ACGTRYKMBVDH', 'TGCAYRMKVBHD')) END AS orf FROM cut")
 def r03_pileup_orfs(spark: SparkSession, d: str) -> DataFrame:
     """The longest ORF of each read, of which piles are made: its letters, restored from the pile where they were used."""
-    reads = _reads(spark, d)
+    reads = stored(_reads(spark, d).repartition(16), "reads")
     best = stored(pl.best_orfs(orfs(reads, "node_id", "seq", 20), reads, "node_id", "seq"), "orfs")
     piled = pl.pileup(best.join(reads.select("node_id", "fam", "k"), "node_id"), "fam", "k", "orf")
     used = piled.where("used").select((F.col("fam") * 8 + 4 + F.col("k")).cast("int").alias("node_id"), F.replace("row", F.lit("-"), F.lit("")).alias("used"))

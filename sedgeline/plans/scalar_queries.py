@@ -142,7 +142,8 @@ def orfs(df: DataFrame, key: str, seq: str, least: int = 50) -> DataFrame:
     both = df.select(F.col(key).alias("k"), F.col(seq).alias("fwd"), fs.reverse_complement(F.col(seq)).alias("rev"), F.length(seq).alias("n"))
     strands = both.select("k", "n", F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("fwd").alias("s")), F.struct(F.lit(-1).alias("sign"), F.col("rev").alias("s")))).alias("x"))
     frames = strands.select("k", "n", "x.sign", "x.s", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("f"))
-    framed = frames.withColumn("aa", fs.translate_codons(F.expr("substring(s, f + 1, n)")))
+    # Through a generator, so that the translation isn't written out, and done, wherever it is used.
+    framed = frames.select("*", F.explode(F.array(fs.translate_codons(F.expr("substring(s, f + 1, n)")))).alias("aa"))
     # The runs, and what stands before each: only as many array elements as there are long runs.
     pattern = f"([^X]{{{least},}})"
     cut = framed.where(F.col("aa").rlike(pattern)).select("k", "n", "sign", "f", F.regexp_extract_all("aa", F.lit(pattern), 1).alias("orfs"), F.split("aa", pattern).alias("between"))
