@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedgeline.plans import alignment_queries, column_queries, format_queries, intervals_queries, model_queries, placement_queries, relational_queries, scalar_queries
+from sedgeline.plans import alignment_queries, column_queries, format_queries, intervals_queries, model_queries, output_queries, placement_queries, relational_queries, scalar_queries
 
-_MODULES = [intervals_queries, scalar_queries, relational_queries, model_queries, alignment_queries, column_queries, format_queries, placement_queries]
+_MODULES = [intervals_queries, scalar_queries, relational_queries, model_queries, alignment_queries, column_queries, format_queries, placement_queries, output_queries]
 
 #: Columns that are 32-bit integers in the queries, where SQL counts in 64 bits.
 _INTEGERS = {

@@ -221,3 +221,48 @@ def midpoint_rooted(root: TreeNode) -> TreeNode:
         parent.children.append(made)
         todo += [(m, n, d, made) for m, d in others]
     return top
+
+
+# The line format of gapped search hits: as for ungapped ones, and the operations after the score.
+VULGAR = SUGAR.replace("sugar", "vulgar") + r"\s*(.*)"
+
+
+def parse_gapped_hits(df: DataFrame, line: str) -> DataFrame:
+    """Search hits from 'vulgar:' lines, with their operations as an array of (op, query, target); other lines are skipped."""
+    g = lambda k, t="int": F.regexp_extract(line, VULGAR, k).cast(t)
+    triples = F.transform(F.regexp_extract_all(F.regexp_extract(line, VULGAR, 10), F.lit(r"(\S+\s+\d+\s+\d+)"), 1), lambda x: F.split(x, r"\s+"))
+    ops = F.transform(triples, lambda x: F.struct(x[0].alias("op"), x[1].cast("int").alias("query"), x[2].cast("int").alias("target")))
+    return df.where(F.col(line).rlike(VULGAR)).select(g(1, "string").alias("query"), g(2).alias("q_start"), g(3).alias("q_end"), g(4, "string").alias("q_strand"), g(5, "string").alias("node"), g(6).alias("t_start"), g(7).alias("t_end"), g(8, "string").alias("t_strand"), g(9).alias("score"), ops.alias("ops"))
+
+
+def parse_segments(df: DataFrame, line: str) -> DataFrame:
+    """Anchors from tab-separated ungapped segments: query, target, first and last letter on either (from 1; a target that runs backwards is
+    on the minus strand), score. Lines of another form are skipped."""
+    pattern = r"^([^\t]+)\t([^\t]+)\t(\d+)\t(\d+)\t(\d+)\t(\d+)\t(-?\d+)$"
+    g = lambda k, t="int": F.regexp_extract(line, pattern, k).cast(t)
+    return df.where(F.col(line).rlike(pattern)).select(
+        g(1, "string").alias("seq_1"), g(2, "string").alias("seq_2"), (F.least(g(3), g(4)) - 1).alias("start_1"), (F.least(g(5), g(6)) - 1).alias("start_2"), (F.abs(g(4) - g(3)) + 1).alias("length"), g(7).alias("score"), (g(3) <= g(4)).alias("plus_1"), (g(5) <= g(6)).alias("plus_2")
+    )
+
+
+def domain_anchors(df: DataFrame, line: str, length: int = 5) -> DataFrame:
+    """(sequence, start, length): an anchor at either end of each sequence's best domain, from the lines of a domain table.
+
+    Of a line's fields the first is the sequence, the fourth the domain, the 13th its E-value and the 18th and 19th where it lies,
+    from 1. The lowest E-value counts, of equals the first place. Lines that begin with # are comments.
+    """
+    field = F.split(F.trim(F.col(line)), r"\s+")
+    rows = df.where(~F.col(line).startswith("#")).select(field.alias("f")).where(F.size("f") >= 19)
+    rows = rows.select(F.col("f")[0].alias("sequence"), F.col("f")[12].cast("double").alias("e"), F.col("f")[17].cast("int").alias("a"), F.col("f")[18].cast("int").alias("b"))
+    best = rows.groupBy("sequence").agg(F.min_by(F.struct("a", "b"), F.struct("e", "a", "b")).alias("d")).select("sequence", "d.*")
+    return best.select("sequence", F.explode(F.array(F.col("a") - 1, F.greatest(F.col("b") - length, F.col("a") - 1))).alias("start"), F.lit(length).alias("length"))
+
+
+def parse_relaxed_phylip(df: DataFrame, text: str) -> DataFrame:
+    """(name, sequence) of files (one text each) with a head of two numbers, and for each sequence its name and letters, over several lines up
+    to an empty one. Names are wrapped as #name#. A name that comes again replaces none: the first counts."""
+    body = F.regexp_replace(F.regexp_replace(F.col(text), "\r", ""), r"^\s*\d+\s+\d+[^\n]*\n", "")
+    parts = df.where(F.col(text).rlike(r"^\s*\d+\s+\d+")).select(F.posexplode(F.split(body, r"\n[ \t]*\n")).alias("place", "part")).where("trim(part) <> ''")
+    name = F.regexp_extract("part", r"^\s*(\S+)", 1)
+    letters = F.regexp_replace(F.regexp_replace("part", r"^\s*\S+", ""), r"\s+", "")
+    return parts.groupBy(F.concat(F.lit("#"), name, F.lit("#")).alias("name")).agg(F.min_by(letters, "place").alias("sequence"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedgeline.functions.sequence import wrapped
+from sedgeline.functions.sequence import wrapped, xml_escaped
+
+log = logging.getLogger("sedgeline")
 
 
 def numbered_duplicates(df: DataFrame, name: str, order: list[str]) -> DataFrame:
@@ -80,3 +84,56 @@ def newick(rows: list, lengths: bool = True, tags: bool = False) -> str:
             out += f"[&&NHX:TID={r['tid']}]"
         text[r["node_id"]] = out
     return text[root["node_id"]] + ";"
+
+
+# The formats by name, and their files' suffixes.
+FORMATS = {"fasta": ".fas", "phylip": ".phy", "phylipi": ".phy", "phylips": ".phy", "paml": ".phy", "raxml": ".phy", "nexus": ".nex"}
+
+
+def known_format(name: str) -> tuple[str, str]:
+    """The format that a name stands for and its suffix; fasta, with a warning, for an unknown one."""
+    if name not in FORMATS:
+        log.warning("no format %r: writing fasta", name)
+        name = "fasta"
+    return ("phylipi" if name == "phylip" else name), FORMATS[name]
+
+
+def formatted(df: DataFrame, name: str, seq: str, order: str, kind: str) -> DataFrame:
+    """(block, place, line) of rows in the format of that name, the head of block -1."""
+    kind, _ = known_format(kind)
+    if kind == "nexus":
+        return nexus(df, name, seq, order)
+    head = df.agg(F.concat(F.count("*"), F.lit(" "), F.max(F.length(seq))).alias("line")).select(F.lit(-1).alias("block"), F.lit(0).cast("long").alias("place"), "line")
+    if kind == "phylipi":
+        return head.unionByName(interleaved(df, name, seq, order).withColumn("place", F.col("place").cast("long")))
+    n, s = F.col(name), F.col(seq)
+    line = {"fasta": fasta(n, F.lit(""), s), "phylips": sequential(n, s), "paml": sequential(n, s, name_width=None), "raxml": long_sequential(n, s)}[kind]
+    body = df.select(F.lit(0).alias("block"), F.col(order).cast("long").alias("place"), line.alias("line"))
+    return body if kind == "fasta" else head.unionByName(body)
+
+
+def graph_text(df: DataFrame, name: str, sites: str, edges: str) -> DataFrame:
+    """(name, text): a graph's sites (ix, ch), each with the edges (start, end, weight) that end in it. Sites and edges meet in a join."""
+    edge = df.select(name, F.explode(edges).alias("e")).groupBy(name, F.col("e.end").alias("ix")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("e.start", "e.weight"))), lambda e: F.concat(F.lit(" "), e["start"], F.lit(" "), F.col("ix"), F.lit(" "), e["weight"], F.lit(";"))), "").alias("into"))
+    site = df.select(name, F.explode(sites).alias("s")).select(name, F.col("s.ix").alias("ix"), F.col("s.ch").alias("ch")).join(edge, [name, "ix"], "left")
+    line = F.concat("ix", F.lit(" "), "ch", F.lit(";"), F.coalesce("into", F.lit("")))
+    lines = site.select(name, F.struct("ix", line.alias("l")).alias("x")).groupBy(name).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return lines.select(F.col(name).alias("name"), F.concat(F.lit("# "), name, F.lit("\n"), F.array_join(F.transform("x", lambda x: x["l"]), "\n")).alias("text"))
+
+
+def event_lines(events: DataFrame, branch: str) -> DataFrame:
+    """(branch, lines): each branch's events as text: its name, then substitutions, insertions and deletions by place."""
+    what = F.concat(F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat("first", F.lit(".."), "last")), F.when(F.col("kind") == "sub", F.concat(F.lit(" "), "change")).when(F.col("kind") == "ins", " insertion").otherwise(" deletion"))
+    each = events.select(F.col(branch).alias("branch"), F.struct(F.col("first").alias("a"), F.col("last").alias("b"), "kind", what.alias("t")).alias("x"))
+    lines = each.groupBy("branch").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return lines.select("branch", F.concat(F.lit("branch "), "branch", F.lit("\n"), F.array_join(F.transform("x", lambda x: x["t"]), "\n")).alias("lines"))
+
+
+def xml_alignment(rows: DataFrame, group: str, name: str, seq: str, leaf: str, tree: DataFrame) -> DataFrame:
+    """(group, xml): alignments with their trees (group, newick), leaves numbered in order of their names, inner nodes by name."""
+    k = F.row_number().over(Window.partitionBy(group, leaf).orderBy(name))
+    label = F.when(F.col(leaf), F.concat(F.lit("seq"), k)).otherwise(xml_escaped(F.col(name)))
+    tag = F.when(F.col(leaf), "leaf").otherwise("node")
+    line = F.concat(F.lit("<"), tag, F.lit(' id="'), label, F.lit('" name="'), xml_escaped(F.col(name)), F.lit('">'), xml_escaped(F.col(seq)), F.lit("</"), tag, F.lit(">"))
+    nodes = rows.select(group, F.struct(F.when(F.col(leaf), 0).otherwise(1).alias("o"), F.col(name).alias("n"), line.alias("l")).alias("x")).groupBy(group).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return nodes.join(tree, group).select(group, F.concat(F.lit("<ms_alignment>\n<newick>"), xml_escaped(F.col("newick")), F.lit("</newick>\n<nodes>\n"), F.array_join(F.transform("x", lambda x: x["l"]), "\n"), F.lit("\n</nodes>\n</ms_alignment>")).alias("xml"))
