@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import logging
 from dataclasses import dataclass, fields
 
+from sedgeline.operators.placement import PlacementOptions
+
 
 @dataclass(frozen=True)
 class Options:
@@ -31,6 +34,15 @@ class Options:
     branch_skip_weight: float = 0.9
     block: int = 64
 
+    @staticmethod
+    def from_text(text: str) -> Options:
+        """The defaults with the values of 'key = value' lines laid over them."""
+        return Options(**from_lines(text.splitlines()))
+
+    def placement(self) -> PlacementOptions:
+        """What of these governs placements."""
+        return PlacementOptions(least_overlap=self.min_query_overlap, least_identity=self.min_query_identity, least_score=self.score_ungapped_limit / 2, distance=self.query_distance, offset=self.anchors_offset)
+
 
 def _value(kind: str, text: str):
     if kind == "bool":
@@ -67,3 +79,15 @@ def parsed(arguments: list[str]) -> Options:
     path = given.pop("config_file")
     base = from_lines(open(path).read().splitlines()) if path else {}
     return Options(**(base | {k: v for k, v in given.items() if v is not None}))
+
+
+def log_to(path: str | None = None, level: str = "WARNING", overwrite: bool = True) -> None:
+    """Messages of at least ``level`` to the console, or to a file that is written anew unless told otherwise."""
+    handler = logging.FileHandler(path, "w" if overwrite else "a") if path else logging.StreamHandler()
+    handler.setFormatter(logging.Formatter("%(levelname)s %(message)s"))
+    log = logging.getLogger("sedgeline")
+    for old in log.handlers[:]:
+        log.removeHandler(old)
+        old.close()
+    log.addHandler(handler)
+    log.setLevel(level)

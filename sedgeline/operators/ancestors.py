@@ -7,11 +7,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedgeline.functions.models import dna_matrix
-from sedgeline.functions.sequence import BASE_BITS, DNA
+from sedgeline.functions.sequence import BASE_BITS, DNA, child_parsimony, parsimony
 from sedgeline.operators.progressive import _places
 
 _BITS = np.zeros(256, np.int64)
@@ -100,6 +100,12 @@ def parsimony_rows(tree: DataFrame, rows: DataFrame) -> DataFrame:
     return _grouped(tree, rows, _fitch)
 
 
+def one_sided(above: Column, target: Column, query: Column) -> tuple[Column, Column]:
+    """The base sets of a node that a query is grafted to above its target, and these in the light of the node above; nothing else changes."""
+    grafted = parsimony(target, query)
+    return grafted, child_parsimony(above, grafted)
+
+
 def likelihood_rows(tree: DataFrame, rows: DataFrame, pi: tuple[float, float, float, float] = (0.25,) * 4) -> DataFrame:
     """As ``parsimony_rows``, but the states that are most probable from the root down, given the nucleotide model."""
     return _grouped(tree, rows, _likely(pi))

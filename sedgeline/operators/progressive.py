@@ -172,3 +172,10 @@ def match_scores(rows: DataFrame, key: str, a: str, b: str, t: float) -> DataFra
     paired = (F.coalesce("y", F.lit("")) != "") & (F.col("y") != "-")
     sums = cells.groupBy(key).agg(F.sum(F.when(paired, score(F.col("x"), F.col("y"))).otherwise(0.0)).alias("score"), F.sum(score(F.col("x"), F.col("x"))).alias("own"), F.count_if(paired).alias("n"), F.count_if(paired & (F.col("x") == F.col("y"))).alias("same"), F.count("*").alias("size"))
     return sums.select(key, F.round("score", 5).alias("score"), F.round(F.try_divide("score", "own"), 5).alias("normalised"), F.round(F.col("n") / F.col("size"), 9).alias("overlap"), F.round(F.try_divide("same", "n"), 9).alias("identity"))
+
+
+def attached_edges(seqs: DataFrame, edges: DataFrame, key: str, seq: str) -> DataFrame:
+    """(key, edge_from, edge_to, weight, from_letter, to_letter) of the edges between two sites of their sequence, counted from 1."""
+    inside = (F.col("edge_from") >= 1) & (F.col("edge_from") < F.col("edge_to")) & (F.col("edge_to") <= F.length(seq))
+    joined = edges.join(seqs.select(key, seq), key).where(inside)
+    return joined.select(key, "edge_from", "edge_to", "weight", F.expr(f"substring({seq}, int(edge_from), 1)").alias("from_letter"), F.expr(f"substring({seq}, int(edge_to), 1)").alias("to_letter"))

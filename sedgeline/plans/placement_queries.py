@@ -100,7 +100,7 @@ def r04_batch_grafts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH {_GRAFT}, pairs AS (SELECT tid, a.name AS a, count(*) AS letters FROM cells a WHERE letter <> '-' GROUP BY ALL) SELECT tid AS alignment, a AS name, letters, 0::BIGINT AS moved FROM pairs")
-def r07_graft_columns(spark: SparkSession, d: str) -> DataFrame:
+def r07_j07_graft_columns(spark: SparkSession, d: str) -> DataFrame:
     """Grafting moves no reference letter against the others: letters that shared a column still do, and no new column holds one."""
     rows, placed, queries = _grafts(spark, d)
     out = stored(og.grafted_rows(rows, og.grafted_cells(rows, placed, queries)), "grafted").where("not added")

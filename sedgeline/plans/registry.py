@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedgeline.plans import alignment_queries, column_queries, format_queries, intervals_queries, model_queries, output_queries, placement_queries, relational_queries, scalar_queries
+from sedgeline.plans import alignment_queries, column_queries, format_queries, intervals_queries, kernel_queries, model_queries, output_queries, placement_queries, relational_queries, scalar_queries
 
-_MODULES = [intervals_queries, scalar_queries, relational_queries, model_queries, alignment_queries, column_queries, format_queries, placement_queries, output_queries]
+_MODULES = [intervals_queries, scalar_queries, relational_queries, model_queries, alignment_queries, column_queries, format_queries, placement_queries, output_queries, kernel_queries]
 
 #: Columns that are 32-bit integers in the queries, where SQL counts in 64 bits.
 _INTEGERS = {
@@ -27,6 +27,8 @@ _INTEGERS = {
     "t13_traversal": ["in_order", "post_order"],
     "g06_overlap_identity": ["aligned"],
     "m08_m09_parsimony": ["i"],
+    "t07_one_sided_parsimony": ["i"],
+    "t08_resolved_sets": ["i"],
     "u01_t08_state_intersections": ["common", "either"],
     "g03_base_counts": ["site"],
     "g04_consensus": ["site"],

@@ -31,3 +31,16 @@ def test_options(tmp_path):
         from_lines(["nothing = 1"])
     with pytest.raises(ValueError):
         from_lines(["real-branches = maybe"])
+
+
+def test_log(tmp_path):
+    import logging
+
+    from sedgeline.config import log_to
+    from sedgeline.sources.writers import known_format
+
+    log_to(str(tmp_path / "log"), "WARNING")
+    assert known_format("clustal") == ("fasta", ".fas")
+    logging.getLogger("sedgeline").info("not told")
+    log_to()
+    assert (tmp_path / "log").read_text() == "WARNING no format 'clustal': writing fasta\n"
