@@ -197,7 +197,8 @@ def covered_periods(df: DataFrame, key: str, start: str, end: str, fan_in: int =
     partial = stored(rows.mapInArrow(_partial, state).withColumn("slot", F.spark_partition_id()), "intervals")
     place = T.StructType([T.StructField("k", kind), T.StructField("split", T.BooleanType()), T.StructField("cell", T.IntegerType()), T.StructField("slot", T.IntegerType())])
     ends = [T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]
-    lists = _cells(partial)
+    split = _any_split(partial)
+    lists = _cells(partial) if split else partial.select("k", F.lit(False).alias("split"), F.lit(0).alias("cell"), "slot", "s", "e")
     while slots > fan_in:
         slots = -(-slots // fan_in)
         level = lists.withColumn("slot", F.pmod("slot", F.lit(slots))).repartition("k", "cell", "slot").sortWithinPartitions("k", "cell", "slot", "s")
@@ -206,7 +207,7 @@ def covered_periods(df: DataFrame, key: str, start: str, end: str, fan_in: int =
     final = lists.repartition("k", "cell").sortWithinPartitions("k", "cell", "s").select(F.struct("k", "split", "cell").alias("k"), "s", "e")
     out = T.StructType([T.StructField("k", T.StructType(place.fields[:3])), T.StructField("kind", T.StringType()), *ends, T.StructField("edge", T.BooleanType())])
     found = final.mapInArrow(_emit, out).select("k.k", "k.split", "k.cell", "kind", "s", "e", "edge")
-    if _any_split(partial):
+    if split:
         found = stored(found, "periods")
         across = F.col("split") & F.col("edge")
         found = found.where(~across).select("k", "kind", "s", "e").unionByName(_stitched(found.where(across)))
@@ -214,7 +215,9 @@ def covered_periods(df: DataFrame, key: str, start: str, end: str, fan_in: int =
 
 
 def _any_split(partial: DataFrame) -> bool:
-    """Whether any key was split. Without one there is nothing to stitch, and the result is the same either way."""
+    """Whether any key has to be split. Without one there is nothing to cut or to stitch, and the result is the same either way."""
+    if partial.count() <= _HOT_ROWS:  # told by the files' footers
+        return False
     return not partial.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > _HOT_ROWS).isEmpty()
 
 
