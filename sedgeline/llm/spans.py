@@ -61,9 +61,13 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = 48, ca
     paths = stored(_paths(stored(tokens.drop("times"), "tokens"), token), "paths")
     blocks = _blocks(paths, length - token, length)
     many = blocks.groupBy("path", "block").agg(F.sum(F.col("end") - F.col("at")).alias("n")).where(F.col("n") > _HOT_LETTERS).select("path", "block")
+    many = stored(many, "many")
     kind = df.schema[id_col].dataType
-    cold, hot = (_with_letters(records.records, blocks.join(many, ["path", "block"], how)) for how in ("left_anti", "left_semi"))
-    runs = _compared(cold, length, kind).unionByName(_compared_hot(hot, length, kind))
+    if many.isEmpty():
+        runs = _compared(_with_letters(records.records, blocks), length, kind)
+    else:
+        cold, hot = (_with_letters(records.records, blocks.join(many, ["path", "block"], how)) for how in ("left_anti", "left_semi"))
+        runs = _compared(cold, length, kind).unionByName(_compared_hot(hot, length, kind))
     found = covered_periods(runs, "text_id", "s", "e").where("kind = 'period'").select("text_id", "seg_start", "seg_end")
     # A text's stretches are those of each record that has it.
     found = stored(found, "spans")
