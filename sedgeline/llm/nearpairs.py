@@ -40,6 +40,8 @@ _GROUP = 64
 _WORDS = 16
 #: Texts of a token that meet its groups in one place; the texts of hot tokens, which have more, are spread. None is dropped.
 _HOT = 2000
+#: Rows of 16 bytes that may be broadcast.
+_SMALL = 500_000
 #: Queries of one group that are compared in one place; more are spread.
 _QUERIES = 5000
 #: Grams that are compared at once, at least one pair of texts.
@@ -155,7 +157,9 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, gram: int = 8, thre
     # Similar texts have their lowest token in common with a probability that is their similarity.
     near = stored(tokens.select("token", "text_id", "grams", "times", F.min("token").over(Window.partitionBy("text_id")).alias("lowest")), "near")
     heads = near.where("token = lowest").select("text_id", "lowest")
-    crowds = heads.groupBy("lowest").agg(F.count("*").alias("n")).where(F.col("n") > _GROUP)
+    crowds = stored(heads.groupBy("lowest").agg(F.count("*").alias("n")).where(F.col("n") > _GROUP), "crowds")
+    if crowds.count() <= _SMALL:  # told by the files' footers; larger ones are joined like any table
+        crowds = F.broadcast(crowds)
     group = F.xxhash64("lowest", F.pmod(F.xxhash64("text_id"), F.ceil(F.coalesce("n", F.lit(1)) / _GROUP)))
     groups = heads.join(crowds, "lowest", "left").select("text_id", group.alias("group"))
     bitmaps = stored(_bitmaps(records.records.select("text_id", "letters").join(groups, "text_id"), gram), "bitmaps")

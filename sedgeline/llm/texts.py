@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgeline.workspace import new_path, parts_for
+from sedgeline.workspace import new_path, parts_for, stored
 
 
 class RecordTexts:
@@ -32,7 +32,7 @@ class RecordTexts:
         # What was read knows its buckets; the catalog needn't keep the name, and leaves the files of such a table alone.
         self.records = spark.table(name)
         spark.sql(f"DROP TABLE {name}")
-        self._classes = self.records.groupBy("digest").agg(F.min("text_id").alias("text_id"), F.max("text_id").alias("last_id"))
+        self._classes = stored(self.records.groupBy("digest").agg(F.min("text_id").alias("text_id"), F.max("text_id").alias("last_id")), "classes")
 
     def texts(self) -> DataFrame:
         classes = self._classes.select("text_id", (F.col("last_id") > F.col("text_id")).alias("copies"))
