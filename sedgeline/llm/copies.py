@@ -2,7 +2,7 @@
 
 Byte-identical raw texts are collapsed first, with their counts; only the distinct survivors are
 canonicalised; these are grouped again on the full canonical text, and the counts are summed. Each
-grouping is a hash aggregate with map-side partial aggregation, so a text that holds a third of all rows
+grouping has map-side partial aggregation, by hashes where its values allow and by sorting else, so a text that holds a third of all rows
 reaches the shuffle as one row per task. Members of the groups are found by joining 32-byte SHA-256
 digests, whose skewed keys adaptive execution can split; no list of members is ever built.
 """
@@ -30,7 +30,7 @@ def canonical_classes(df: DataFrame, id_col: str, text_col: str, copies_col: str
     ``n_records`` counts records, ``n_copies`` sums their ``copies_col``.
 
     Defined cases: rows with the same id are deliveries of one record and count once (where they differ, the
-    smallest text and the largest count hold); a null id, a null text and a text without canonical letters
+    text with the smallest digest and the largest count hold); a null id, a null text and a text without canonical letters
     are in no class; a null or missing count is 1 and a zero stays 0; empty input gives empty results; further
     columns, whatever their names, are ignored.
     """

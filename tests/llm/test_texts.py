@@ -137,6 +137,23 @@ def test_leaks_tolerate_substitutions(spark):
     assert all(len(m) == leaks.WINDOW and "0" in m for m in leaks.MASKS)
 
 
+def test_recall_of_leaks_with_substitutions():
+    """Overlaps of 24 words with 1, 2 and 3 substituted ones: how many some mask finds."""
+    rng = np.random.default_rng(3)
+    recall = {}
+    for n in (1, 2, 3):
+        found = 0
+        for _ in range(400):
+            a = rng.integers(1, 1 << 60, 24).astype(np.uint64)
+            b = a.copy()
+            b[rng.choice(24, n, replace=False)] += np.uint64(1)
+            of = lambda w: {(m, x) for m, _, h in leaks._seeds(w, np.array([0, 24])) for x in h.tolist()}
+            found += bool(of(a) & of(b))
+        recall[n] = found / 400
+    print(recall)
+    assert recall[1] == 1.0 and recall[2] > 0.9 and recall[3] > 0.6
+
+
 PROSE = "The reader keeps the guide tree in memory, and the group checked every branch by hand. Nobody moved the files after the update, so the old names still hold."
 TAGS = "cheap primers, gel stain, cheap primers, lab gloves, gel stain, cheap primers, lab gloves, gel stain, cheap primers"
 LINKS = "\n".join(f"https://site{i}.example/page" for i in range(20))
