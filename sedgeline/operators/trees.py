@@ -110,3 +110,15 @@ def leaf_distances(pairs: DataFrame, tips: DataFrame) -> DataFrame:
     b = up.select(F.col("node_id").alias("leaf_b"), "ancestor_id", F.col("distance").alias("db"))
     met = a.join(b, "ancestor_id").where("leaf_a < leaf_b")
     return met.groupBy("leaf_a", "leaf_b").agg(F.min_by(F.col("da") + F.col("db"), "sa").alias("distance"))
+
+
+def nearest_tagged(tips: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(query, ref, distance): for each leaf without a taxon the nearest along the tree that has one, of equals the smaller id.
+
+    Only the nearest tagged leaf below each node is kept, and each query meets one row for each of its ancestors: over the lowest common
+    one the way is as long as it is, over others no shorter.
+    """
+    below = pairs.join(tips.where("tid is not null").select("node_id"), "node_id", "left_semi").groupBy("ancestor_id").agg(F.min(F.struct(F.round("distance", 9).alias("d"), F.col("node_id").alias("ref"))).alias("r"))
+    queries = pairs.join(tips.where("tid is null").select("node_id"), "node_id", "left_semi")
+    met = queries.join(below, "ancestor_id").select(F.col("node_id").alias("query"), F.round(F.col("distance") + F.col("r.d"), 9).alias("distance"), F.col("r.ref").alias("ref"))
+    return met.groupBy("query").agg(F.min(F.struct("distance", "ref")).alias("x")).select("query", "x.ref", "x.distance")

@@ -279,12 +279,7 @@ def t05_pruned_tree(spark: SparkSession, d: str) -> DataFrame:
 def j13_nearest_reference(spark: SparkSession, d: str) -> DataFrame:
     """For each leaf without a taxon, the nearest along the tree that has one."""
     t = tree(spark, d)
-    tips, pairs = ot.leaves(t), ot.ancestry(t)
-    up = lambda some, name, dist: pairs.join(some, "node_id", "left_semi").select(F.col("node_id").alias(name), "ancestor_id", F.col("distance").alias(dist), F.col("steps").alias(f"s_{name}"))
-    q, r = up(tips.where("tid is null"), "query", "dq"), up(tips.where("tid is not null"), "ref", "dr")
-    # The nearest leaf below each node is enough to keep.
-    low = q.join(r, "ancestor_id").groupBy("query", "ref").agg(F.min_by(F.round(F.col("dq") + F.col("dr"), 9), "s_query").alias("distance"))
-    return low.groupBy("query").agg(F.min(F.struct("distance", "ref")).alias("x")).select("query", "x.ref", "x.distance")
+    return ot.nearest_tagged(ot.leaves(t), ot.ancestry(t))
 
 
 @query("""WITH c AS (SELECT p.node_id, l.branch_length AS a, r.branch_length AS b, p.branch_length AS u FROM tree_node p JOIN tree_node l ON l.parent_id = p.node_id AND l.side = 'left' JOIN tree_node r ON r.parent_id = p.node_id AND r.side = 'right'),

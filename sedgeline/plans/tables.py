@@ -11,8 +11,9 @@ from sedgeline.functions.sequence import letters_only
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per record of fasta_entry, however often it was delivered, with its letters; those without letters are left out."""
     rows = spark.read.parquet(f"{sf_dir}/fasta_entry.parquet").where("sequence is not null")
-    firsts = ["run", "pos", "name", "comment", "sequence", "quality", "tid", "num_duplicates"]
-    one = rows.groupBy("entry_id").agg(*[F.min(c).alias(c) for c in firsts])
+    # The smallest delivery as a whole, so that no record is made of parts of several.
+    firsts = ["sequence", "run", "pos", "name", "comment", "quality", "tid", "num_duplicates"]
+    one = rows.groupBy("entry_id").agg(F.min(F.struct(*firsts)).alias("r")).select("entry_id", *[F.col(f"r.{c}").alias(c) for c in firsts])
     return one.withColumn("seq", letters_only(F.col("sequence"))).where("seq <> ''")
 
 
@@ -41,7 +42,7 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per hit, however often it was delivered."""
     rows = spark.read.parquet(f"{sf_dir}/hit.parquet")
-    return rows.drop("arrived_at").distinct()
+    return rows.drop("arrived_at").dropDuplicates(["hit_id"])
 
 
 HITS = """h AS (SELECT DISTINCT * EXCLUDE (arrived_at) FROM hit)"""
