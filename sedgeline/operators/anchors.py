@@ -136,7 +136,8 @@ def band(anchors: list[tuple[int, int, int]], n: int, m: int, offset: int = 15,
     """
     lo, hi = [m] * (n + 1), [0] * (n + 1)
     ends = [(0, 0)] + [p for s1, s2, k in sorted(anchors) for p in ((s1, s2), (s1 + k, s2 + k))] + [(n, m)]
-    blocks = [(x0, y0, x1, y1, x1 - x0 == y1 - y0 and x1 > x0) for (x0, y0), (x1, y1) in zip(ends, ends[1:], strict=False)]
+    # Blocks and anchors take turns.
+    blocks = [(x0, y0, x1, y1, k % 2 == 1) for k, ((x0, y0), (x1, y1)) in enumerate(zip(ends, ends[1:], strict=False))]
     area = [0 if diagonal else max(x1 - x0, 0) * max(y1 - y0, 0) for x0, y0, x1, y1, diagonal in blocks]
     around: set[int] = set()
     for k in sorted(range(len(blocks)), key=lambda k: -area[k]):

@@ -72,8 +72,8 @@ def placements(hits: DataFrame, queries: DataFrame, targets: DataFrame, options:
                 out.append((query, node, bool(turned_), float(pairs_score), len(on) / len(x), same / len(on) if on else 0.0, float(pairs_score / own) if own else 0.0))
             yield pd.DataFrame(out, columns=[f.split()[0] for f in _SCHEMA.split(", ")])
 
-    aligned = pairs.repartition(_places(pairs)).mapInPandas(align, _SCHEMA)
-    best = aligned.withColumn("place", F.rank().over(Window.partitionBy("query").orderBy(F.round("normalised", 9).desc()))).where("place = 1").drop("place")
+    scored = pairs.repartition(_places(pairs)).mapInPandas(align, _SCHEMA)
+    best = scored.withColumn("place", F.rank().over(Window.partitionBy("query").orderBy(F.round("normalised", 9).desc()))).where("place = 1").drop("place")
     fine = (F.col("overlap") > options.least_overlap) & (F.col("identity") > options.least_identity) & (F.col("normalised") >= options.least_score)
     return best.withColumn("verdict", F.when(fine, "placed").otherwise("discarded"))
 

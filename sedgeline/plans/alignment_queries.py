@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedgeline.functions.models import dna_scores
@@ -52,23 +52,31 @@ def _aligned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
     return members, aligned, op.column_maps(aligned)
 
 
-@query(f"{_FAMILIES} SELECT node_id, seq AS ungapped, true AS same_width, 0 AS gap_only FROM members")
+@query(f"{_FAMILIES} SELECT node_id, seq AS ungapped, true AS same_width, 0 AS gap_only, true AS homologous FROM members")
 def t01_progressive_alignment(spark: SparkSession, d: str) -> DataFrame:
-    """Families aligned along their trees; what must hold: rows without gaps are the sequences, a family's rows are as wide, and no column is empty."""
+    """Families aligned along their trees; what must hold: rows without gaps are the sequences, a family's rows are as wide, no column is empty,
+    and three quarters of each member's letters stand with the letters of the first member that they were made from."""
     members, _, maps = _aligned(spark, d)
     rows = stored(op.alignment_rows(maps, members), "rows")
     columns = rows.select("root_id", F.posexplode(F.split("row", "")).alias("i", "c")).where("c <> ''").groupBy("root_id", "i").agg(F.min((F.col("c") == "-").cast("int")).alias("gap"))
     empty = columns.groupBy("root_id").agg(F.sum("gap").cast("int").alias("gap_only"), F.count("*").alias("width"))
-    joined = rows.join(empty, "root_id")
-    return joined.select("node_id", F.replace(F.col("row"), F.lit("-"), F.lit("")).alias("ungapped"), (F.length("row") == F.col("width")).alias("same_width"), "gap_only")
+    # Where each letter of a member was in the sequence that its family was made from: what follows its block lost 3k letters.
+    cells = rows.select("root_id", "node_id", F.posexplode(F.split("row", "")).alias("i", "c")).where("c <> '' and c <> '-'").withColumn("n", F.row_number().over(Window.partitionBy("node_id").orderBy("i")))
+    k = F.col("node_id") % 8 - 4
+    placed = cells.withColumn("k", k).withColumn("origin", F.when(F.col("n") <= 22 + 40 * k, F.col("n")).otherwise(F.col("n") + 3 * k))
+    first = placed.where("k = 0").select("root_id", "i", F.col("origin").alias("first"))
+    right = placed.join(first, ["root_id", "i"], "left").groupBy("node_id").agg((F.avg(F.coalesce((F.col("origin") == F.col("first")).cast("int"), F.lit(0))) >= 0.75).alias("homologous"))
+    joined = rows.join(empty, "root_id").join(right, "node_id")
+    return joined.select("homologous", "node_id", F.replace(F.col("row"), F.lit("-"), F.lit("")).alias("ungapped"), (F.length("row") == F.col("width")).alias("same_width"), "gap_only")
 
 
-@query(f"{_FAMILIES} SELECT fam * 8 + n AS node_id, 0 AS bad_edges FROM tips, (VALUES (1), (2), (3)) x(n)")
+@query(f"{_FAMILIES} SELECT fam * 8 + n AS node_id, 0 AS bad_edges, 0 AS twice, true AS weighted, true AS covers FROM tips, (VALUES (1), (2), (3)) x(n)")
 def a22_graph_validity(spark: SparkSession, d: str) -> DataFrame:
-    """Edges of the inner nodes' graphs that don't lead forward between two of their sites."""
+    """The inner nodes' graphs: edges that don't lead forward between two of their sites, edges that are there twice, weights from 0 to 1,
+    and whether each child's sites stand in order, each once, among the node's."""
     members, nodes = families(spark, d)
     aligned = op.progressive_alignment(nodes, op.leaf_graphs(members))
-    return aligned.select("node_id", F.expr("size(filter(arrays_zip(src, dst), e -> e.src < 0 or e.dst > size(states) + 1 or e.src >= e.dst))").alias("bad_edges"))
+    return aligned.select("node_id", F.expr("size(filter(arrays_zip(src, dst), e -> e.src < 0 or e.dst > size(states) + 1 or e.src >= e.dst))").alias("bad_edges"), F.expr("size(src) - size(array_distinct(arrays_zip(src, dst)))").alias("twice"), F.expr("forall(weight, w -> w > 0 and w <= 1)").alias("weighted"), F.expr("filter(left, i -> i > 0) = sequence(1, array_max(left)) and filter(right, i -> i > 0) = sequence(1, array_max(right)) and forall(arrays_zip(left, right), x -> x.left > 0 or x.right > 0) and size(left) = size(states)").alias("covers"))
 
 
 @query(None)
@@ -148,9 +156,25 @@ def t06_parsimony_ancestors(spark: SparkSession, d: str) -> DataFrame:
     return oc.parsimony_rows(shape, members.withColumnRenamed("seq", "row")).select("node_id", "row")
 
 
-@query(f"{_FAMILIES} SELECT fam, CAST(count(*) AS INT) AS leaves, CAST(2 * count(*) - 1 AS INT) AS nodes, true AS rooted FROM members GROUP BY fam")
+@query(f"""{_FAMILIES}, grams AS (SELECT DISTINCT fam, node_id, substr(seq, CAST(i AS INT), 6) AS g FROM (SELECT *, unnest(range(1, greatest(length(seq) - 5, 1) + 1)) AS i FROM members)),
+    sizes AS (SELECT node_id, count(*) AS n FROM grams GROUP BY node_id), met AS (SELECT a.fam, a.node_id AS a, b.node_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.fam = b.fam AND a.g = b.g AND a.node_id < b.node_id GROUP BY ALL),
+    d AS (SELECT p.fam, p.a % 8 - 4 AS a, p.b % 8 - 4 AS b, 1 - coalesce(c, 0) / least(x.n, y.n) AS d FROM (SELECT m.fam, m.node_id AS a, o.node_id AS b FROM members m JOIN members o ON m.fam = o.fam AND m.node_id < o.node_id) p LEFT JOIN met USING (fam, a, b) JOIN sizes x ON x.node_id = p.a JOIN sizes y ON y.node_id = p.b),
+    sums AS (SELECT fam, sum(d) FILTER (a = 0 AND b = 1 OR a = 2 AND b = 3) AS s1, sum(d) FILTER (a = 0 AND b = 2 OR a = 1 AND b = 3) AS s2, sum(d) FILTER (a = 0 AND b = 3 OR a = 1 AND b = 2) AS s3 FROM d GROUP BY fam),
+    low AS (SELECT fam, least(s1, s2, s3) AS m, s1, s2, s3 FROM sums)
+    SELECT fam, 4 AS leaves, 7 AS nodes, true AS rooted, CASE WHEN CAST(s1 < m + 1e-9 AS INT) + CAST(s2 < m + 1e-9 AS INT) + CAST(s3 < m + 1e-9 AS INT) > 1 THEN true ELSE NULL END AS tied, CASE WHEN CAST(s1 < m + 1e-9 AS INT) + CAST(s2 < m + 1e-9 AS INT) + CAST(s3 < m + 1e-9 AS INT) > 1 THEN NULL WHEN s1 < m + 1e-9 THEN 1 WHEN s2 < m + 1e-9 THEN 2 ELSE 3 END AS partner FROM low""")
 def t04_guide_trees(spark: SparkSession, d: str) -> DataFrame:
-    """A tree for each family; what must hold: all members are leaves, it is binary, and it has one root."""
+    """A tree for each family: its size, that it has one root, and which member it parts from the others together with the first,
+    which must be the pairing with the smallest sum of distances (null where that is tied)."""
     members, _ = families(spark, d)
-    trees = oc.guide_trees(members.withColumn("fam", F.floor(F.col("node_id") / 8).cast("int")), "fam", "node_id", "seq")
-    return trees.groupBy("fam").agg(F.count("name").cast("int").alias("leaves"), F.count("*").cast("int").alias("nodes"), (F.count_if(F.col("parent_id").isNull()) == 1).alias("rooted"))
+    named = stored(members.withColumn("fam", F.floor(F.col("node_id") / 8).cast("int")), "members")
+    trees = stored(oc.guide_trees(named, "fam", "node_id", "seq"), "trees")
+    size = trees.groupBy("fam").agg(F.count("name").cast("int").alias("leaves"), F.count("*").cast("int").alias("nodes"), (F.count_if(F.col("parent_id").isNull()) == 1).alias("rooted"))
+    cherry = trees.where("name is not null").groupBy("fam", "parent_id").agg(F.sort_array(F.collect_list(F.col("name") % 8 - 4)).alias("pair")).where("size(pair) = 2").groupBy("fam").agg(F.min_by("pair", "parent_id").alias("p"))
+    other = F.when(F.col("p")[0] == 0, F.col("p")[1]).otherwise(6 - F.col("p")[0] - F.col("p")[1])
+    # Ties of the distances, of which any pairing is right.
+    grams = named.select("fam", (F.col("node_id") % 8 - 4).alias("k"), F.expr("array_distinct(transform(sequence(1, greatest(length(seq) - 5, 1)), i -> substring(seq, i, 6)))").alias("g"))
+    rows = grams.groupBy("fam").agg(F.expr("transform(array_sort(collect_list(struct(k, g))), x -> x.g)").alias("s"))
+    far = lambda i, j: F.lit(1.0) - F.size(F.array_intersect(F.col("s")[i], F.col("s")[j])) / F.least(F.size(F.col("s")[i]), F.size(F.col("s")[j]))
+    sums = rows.select("fam", F.array(far(0, 1) + far(2, 3), far(0, 2) + far(1, 3), far(0, 3) + far(1, 2)).alias("sums"))
+    tied = sums.select("fam", (F.size(F.expr("filter(sums, x -> x < array_min(sums) + 1e-9)")) > 1).alias("t"))
+    return size.join(cherry, "fam").join(tied, "fam").select("fam", "leaves", "nodes", "rooted", F.when(F.col("t"), True).alias("tied"), F.when(~F.col("t"), other).cast("int").alias("partner"))
