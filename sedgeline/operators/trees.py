@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedgeline.workspace import stored
+from sedgeline.workspace import numbered, stored
 
 
 def ancestry(tree: DataFrame) -> DataFrame:
@@ -83,8 +83,8 @@ def traversal(tree: DataFrame, pairs: DataFrame) -> DataFrame:
     path = pairs.join(turn, "ancestor_id").where("turn is not null").groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("o"), "turn"))).alias("p"))
     path = tree.select("node_id").join(path, "node_id", "left").select("node_id", F.coalesce(F.array_join(F.transform("p", lambda x: x["turn"]), ""), F.lit("")).alias("path"))
     # In order a node stands between its left (0) and right (2) subtrees; in post-order after both.
-    place = lambda own: F.row_number().over(Window.orderBy(F.concat("path", F.lit(own))))
-    return path.select("node_id", place("1").alias("in_order"), place("3").alias("post_order"))
+    turned = numbered(path, [F.concat("path", F.lit("1"))], "in_order")
+    return numbered(turned, [F.concat("path", F.lit("3"))], "post_order").select("node_id", "in_order", "post_order")
 
 
 def pruned(tree: DataFrame, pairs: DataFrame, keep: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from sedgeline.functions import sequence as fs
 from sedgeline.operators import hits as oh
 from sedgeline.operators import trees as ot
 from sedgeline.plans.tables import HITS, RECORDS, REFERENCES, anchors, hits, records, references, tree
+from sedgeline.workspace import numbered
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -91,7 +92,7 @@ def w08_by_length(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT node_id, name, row_number() OVER (ORDER BY starts_with(name, '#'), coalesce(try_cast(replace(name, '#', '') AS BIGINT), 0) * CAST(starts_with(name, '#') AS INT), name) AS place FROM tree_node")
 def w09_node_names(spark: SparkSession, d: str) -> DataFrame:
-    return tree(spark, d).select("node_id", "name", F.row_number().over(Window.orderBy(*oh.node_order("name"))).alias("place"))
+    return numbered(tree(spark, d).select("node_id", "name"), oh.node_order("name"), "place")
 
 
 @query("SELECT seq_1, anchor_id, max(start_1 + length) OVER (PARTITION BY seq_1 ORDER BY start_1, anchor_id ROWS UNBOUNDED PRECEDING) AS reach FROM anchor")
@@ -256,7 +257,7 @@ def f21_node_labels(spark: SparkSession, d: str) -> DataFrame:
     """Inner nodes numbered in post-order."""
     t = tree(spark, d)
     inner = ot.traversal(t, ot.ancestry(t)).join(ot.leaves(t), "node_id", "left_anti")
-    return inner.select("node_id", F.concat(F.lit("#"), F.row_number().over(Window.orderBy("post_order")), F.lit("#")).alias("label"))
+    return numbered(inner.select("node_id", "post_order"), ["post_order"], "n").select("node_id", F.concat(F.lit("#"), "n", F.lit("#")).alias("label"))
 
 
 @query(f"""WITH {_UP}, kept AS (SELECT node_id FROM tips WHERE name IN (SELECT name FROM ref_entry WHERE length(sequence) > 300)),

@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
 #: Bytes of stored input for one part of a shuffle or one file.
@@ -64,3 +65,18 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """``df`` with its rows' numbers, from 1, in an order over all of them, though no task sees them all.
+
+    Rows are spread by ranges of the order and written; each range counts its own, and begins where the ranges before it end. The
+    offsets are one row a range.
+    """
+    keys = [f"__o{i}" for i in range(len(order))]
+    ranged = df.select("*", *[(F.col(c) if isinstance(c, str) else c).alias(k) for k, c in zip(keys, order, strict=True)]).repartitionByRange(parts_for(df), *keys)
+    kept = stored(ranged.withColumn("__range", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = kept.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*keys))
+    return kept.withColumn("__own", own).join(F.broadcast(offsets), "__range").withColumn(name, (F.col("__own") + F.col("__before")).cast("int")).select(*df.columns, name)
