@@ -179,3 +179,20 @@ def attached_edges(seqs: DataFrame, edges: DataFrame, key: str, seq: str) -> Dat
     inside = (F.col("edge_from") >= 1) & (F.col("edge_from") < F.col("edge_to")) & (F.col("edge_to") <= F.length(seq))
     joined = edges.join(seqs.select(key, seq), key).where(inside)
     return joined.select(key, "edge_from", "edge_to", "weight", F.expr(f"substring({seq}, int(edge_from), 1)").alias("from_letter"), F.expr(f"substring({seq}, int(edge_to), 1)").alias("to_letter"))
+
+
+def posterior_rows(pairs: DataFrame, key: str, t: float = 0.2, least: float = 0.0) -> DataFrame:
+    """(key, i, j, p, forward, backward): the probability that sites i and j of each pair (key, a, b) stand together, above ``least``, and the
+    pair's totals by the forward and the backward pass. Site 0 of a pair stands for the pair itself, with the probability 0."""
+    source = pairs.select(key, "a", "b").where("a <> '' and b <> ''").repartition(_places(pairs))
+
+    def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = kernel.model_at(t)
+        for frame in frames:
+            for k, a, b in frame.itertuples(index=False):
+                p, forward, backward = kernel.posteriors(kernel.linear(a), kernel.linear(b), model)
+                i, j = np.nonzero(p > least)
+                i, j = np.append(0, i), np.append(0, j)
+                yield pd.DataFrame({key: k, "i": i.astype(np.int32), "j": j.astype(np.int32), "p": p[i, j], "forward": forward, "backward": backward})
+
+    return source.mapInPandas(align, T.StructType([source.schema[key], *T.StructType.fromDDL("i int, j int, p double, forward double, backward double")]))

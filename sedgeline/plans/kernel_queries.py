@@ -14,10 +14,11 @@ from sedgeline.operators import ancestors as oc
 from sedgeline.operators import kernel
 from sedgeline.operators import progressive as op
 from sedgeline.operators import trees as ot
+from sedgeline.operators.placement import candidates
 from sedgeline.plans.alignment_queries import _PAIR_SQL, _pairs
 from sedgeline.plans.column_queries import _WHOLE
 from sedgeline.plans.model_queries import _sibling_columns, _sibling_sql
-from sedgeline.plans.relational_queries import _UP
+from sedgeline.plans.relational_queries import _MERGED, _UP
 from sedgeline.plans.scalar_queries import f15_flow_skip_edges, f16_homopolymer_skip_edges
 from sedgeline.plans.tables import RECORDS, REFERENCES, hits, records, references, tree
 from sedgeline.sources import formats as sf
@@ -232,3 +233,27 @@ def s16_options(spark: SparkSession, d: str) -> DataFrame:
     o = Options.from_text("min-orf-length = 30\n# a comment\nreal-branches =\nmin-query-overlap = 0.7\n")
     names = ("block", "min_orf_length", "query_distance", "real_branches")
     return spark.createDataFrame([*((n, str(getattr(o, n))) for n in names), ("min_query_overlap", str(o.placement().least_overlap))], "name string, value string")
+
+
+@query(f"""WITH {RECORDS}, e AS (SELECT name, min(seq) AS seq FROM rec GROUP BY name), c AS (SELECT anchor_id, substr(a.seq, start_1 + 1, length) AS x, substr(b.seq, start_2 + 1, length) AS y FROM anchor JOIN e a ON a.name = seq_1 JOIN e b ON b.name = seq_2 WHERE plus_1 AND plus_2 AND length > 0 AND start_1 >= 0 AND start_2 >= 0)
+    SELECT anchor_id, true AS totals_agree, true AS at_most_one FROM c WHERE x <> '' AND y <> ''""")
+def a08_a10_k18_posteriors(spark: SparkSession, d: str) -> DataFrame:
+    """Each anchor's stretches of its two records: the passes from either end give one total, and no site is paired with a probability above 1."""
+    e = records(spark, d).groupBy("name").agg(F.min("seq").alias("seq"))
+    a, b = e.select(F.col("name").alias("seq_1"), F.col("seq").alias("x")), e.select(F.col("name").alias("seq_2"), F.col("seq").alias("y"))
+    rows = spark.read.parquet(f"{d}/anchor.parquet").where("plus_1 and plus_2 and length > 0 and start_1 >= 0 and start_2 >= 0").join(a, "seq_1").join(b, "seq_2")
+    cut = rows.select("anchor_id", F.expr("substring(x, start_1 + 1, length)").alias("a"), F.expr("substring(y, start_2 + 1, length)").alias("b"))
+    p = op.posterior_rows(cut, "anchor_id")
+    per = p.groupBy("anchor_id", "i").agg(F.sum("p").alias("p"), F.max(F.abs(F.col("forward") - F.col("backward"))).alias("off"))
+    return per.groupBy("anchor_id").agg((F.max("off") < 1e-6).alias("totals_agree"), (F.max("p") < 1 + 1e-6).alias("at_most_one"))
+
+
+@query(f"""WITH {_MERGED}, {REFERENCES}, t AS (SELECT DISTINCT t.name AS node FROM tree_node t JOIN ref USING (name) WHERE seq <> '' AND node_id NOT IN (SELECT parent_id FROM tree_node WHERE parent_id IS NOT NULL)),
+    m AS (SELECT query, node, score FROM merged SEMI JOIN t USING (node)), ten AS (SELECT * FROM m QUALIFY rank() OVER (PARTITION BY query ORDER BY score DESC) <= 10)
+    SELECT query, node, score FROM ten QUALIFY rank() OVER (PARTITION BY query ORDER BY score DESC) <= 3""")
+def r06_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The leaves that each query is aligned with before it is placed."""
+    from sedgeline.plans.alignment_queries import _leaf_letters
+
+    targets = _leaf_letters(spark, d).where("seq <> ''").select(F.col("name").alias("node"))
+    return candidates(hits(spark, d).join(targets, "node", "left_semi")).select("query", "node", "score")
