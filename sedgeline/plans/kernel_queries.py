@@ -15,7 +15,7 @@ from sedgeline.operators import kernel
 from sedgeline.operators import progressive as op
 from sedgeline.operators import trees as ot
 from sedgeline.operators.placement import candidates
-from sedgeline.plans.alignment_queries import _PAIR_SQL, _pairs
+from sedgeline.plans.alignment_queries import _FAMILIES, _PAIR_SQL, _pairs, families
 from sedgeline.plans.column_queries import _WHOLE
 from sedgeline.plans.model_queries import _sibling_columns, _sibling_sql
 from sedgeline.plans.relational_queries import _MERGED, _UP
@@ -257,3 +257,18 @@ def r06_candidates(spark: SparkSession, d: str) -> DataFrame:
 
     targets = _leaf_letters(spark, d).where("seq <> ''").select(F.col("name").alias("node"))
     return candidates(hits(spark, d).join(targets, "node", "left_semi")).select("query", "node", "score")
+
+
+@query(f"""{_FAMILIES}, c AS (SELECT fam, node_id, i, substr(seq, CAST(i AS INT), 1) AS letter FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM members)),
+    same AS (SELECT fam, i, min(letter) AS letter FROM c GROUP BY fam, i HAVING count(*) = 4 AND min(letter) = max(letter) AND min(letter) IN ('A', 'C', 'G', 'T'))
+    SELECT CAST(fam * 8 + n AS INT) AS node_id, count(*) AS settled, 0::BIGINT AS wrong FROM same, (VALUES (1), (2), (3)) x(n) GROUP BY fam, n""")
+def t09_likely_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    """Inner nodes of the families' trees by likelihood, over the members side by side: where all members have one base, so do their ancestors."""
+    members, nodes = families(spark, d)
+    shape = nodes.withColumn("tree", F.floor(F.col("node_id") / 8).cast("int"))
+    found = oc.likelihood_rows(shape, members.withColumnRenamed("seq", "row"))
+    letters = lambda df, row: df.select("*", F.posexplode(F.split(row, "")).alias("i", "letter")).where("letter <> ''")
+    own = letters(members.withColumn("tree", F.floor(F.col("node_id") / 8).cast("int")), "seq").groupBy("tree", "i").agg(F.min("letter").alias("one"), F.max("letter").alias("other"), F.count("*").alias("n"))
+    same = own.where("n = 4 and one = other and one in ('A', 'C', 'G', 'T')").select("tree", "i", "one")
+    inner = letters(found.select("tree", "node_id", "row"), "row").select("tree", "node_id", "i", "letter")
+    return inner.join(same, ["tree", "i"]).groupBy("node_id").agg(F.count("*").alias("settled"), F.count_if(F.col("letter") != F.col("one")).alias("wrong"))
