@@ -258,6 +258,31 @@ def a21_coverage_skip(spark: SparkSession, d: str) -> DataFrame:
     return share.select("seq_1", "seq_2", F.round("share", 9).alias("share"), (F.col("share") > 0.6).alias("skipped"))
 
 
+def _by_record(sql: str) -> str:
+    return sql.replace("PARTITION BY seq_1, seq_2", "PARTITION BY seq_1").replace(" AND a.seq_2 = s.seq_2", "")
+
+
+# Pairs hardly ever have two anchors in the test data, so the choices are also made among all anchors of each first record.
+@query(_by_record(f"{_CHAIN} SELECT anchor_id, start_1, start_2, score FROM kept"))
+def w11_chains_of_records(spark: SparkSession, d: str) -> DataFrame:
+    """The anchors that each first record keeps after crossing ones are dropped."""
+    return an.colinear(anchors(spark, d).select("seq_1", "anchor_id", "start_1", "start_2", "length", "score"), ["seq_1"]).select("anchor_id", "start_1", "start_2", "score")
+
+
+@query(_by_record(_CONSISTENT.replace("SELECT anchor_id, seq_1, seq_2, score FROM step", "SELECT anchor_id, seq_1, score FROM step")))
+def a05_anchors_of_records(spark: SparkSession, d: str) -> DataFrame:
+    """Each first record's anchors that don't contradict better ones."""
+    rows = anchors(spark, d).select("seq_1", "anchor_id", "start_1", "start_2", "length", "score")
+    return an.without_bad_hits(rows, ["seq_1"]).select("anchor_id", "seq_1", "score")
+
+
+@query(_by_record(f"{_BLOCKS} SELECT seq_1, x0, x1, y0, y1, area, sum(area) OVER (PARTITION BY seq_1, seq_2) - coalesce(sum(area) OVER (PARTITION BY seq_1, seq_2 ORDER BY area DESC, x0, y0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 2000 AS gap FROM blocks"))
+def w16_a20_blocks_of_records(spark: SparkSession, d: str) -> DataFrame:
+    """The empty blocks along each first record's chain, and which are led around by gaps."""
+    chain = an.colinear(anchors(spark, d).select("seq_1", "anchor_id", "start_1", "start_2", "length", "score"), ["seq_1"])
+    return an.relieved_blocks(an.empty_blocks(chain, ["seq_1"]), ["seq_1"], 2000)
+
+
 @query(f"WITH {REFERENCES} SELECT name, rtrim(regexp_replace(seq, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10)) AS lines FROM ref")
 def w15_wrapped(spark: SparkSession, d: str) -> DataFrame:
     """Sequences in lines of 60."""
