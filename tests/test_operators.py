@@ -9,6 +9,7 @@ from sedgeline.operators import progressive as op
 from sedgeline.operators import trees as ot
 from sedgeline.operators.alignments import branch_events
 from sedgeline.operators.placement import PlacementOptions, banded_pair, numbered_placements, pileup, placements
+from sedgeline.plans import column_queries
 from sedgeline.sources import formats as sf
 from sedgeline.sources import writers as sw
 
@@ -187,6 +188,25 @@ def test_kept_anchors(spark, tmp_path):
     assert sorted(map(tuple, queries()["w11_colinear_anchors"](spark, str(tmp_path)).collect())) == sorted(expected)
 
 
+def test_shared_substrings_meet_within_their_pair(spark):
+    """Long repeats, keys that are null or there twice, and letters beyond ASCII, against the query's SQL; no window or meeting is a row."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(rng.choice(list("ACGT"), n))
+    core, other = word(40), word(25)
+    rows = [(1, "A" * 400, "A" * 300), (2, word(9) + core + "C" + other, other + "G" + core), (3, core, core[:11]), (None, core, core), (4, core + other, other), (4, other, word(5) + core), (4, other, other), (5, None, core), (6, "éü" * 8, "ü" + "éü" * 7), (7, core, other)]
+    pairs = spark.createDataFrame(rows, "k long, a string, b string")
+    found = an.shared_substrings(pairs, "k", "a", "b", 12)
+    assert found.dtypes == [("k", "bigint"), ("start_1", "int"), ("start_2", "int"), ("length", "int")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE prs (anchor_id BIGINT, a VARCHAR, b VARCHAR)")
+    con.executemany("INSERT INTO prs VALUES (?, ?, ?)", rows)
+    tail = column_queries._SHARED[column_queries._SHARED.index("x AS (") :]
+    expected = con.execute(f"WITH {tail} SELECT anchor_id, start_1, start_2, length FROM found").fetchall()
+    assert {r[0] for r in expected} == {1, 2, 4, 6} and sorted(map(tuple, found.collect())) == sorted(expected)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_band_keeps_the_best_path():
     x, y = "ACGTTGCAACGGTATTACGACGGATCCA", "ACGTTGCACGGTATTACGACGATCCA"
     model = kernel.model_at(0.1)
