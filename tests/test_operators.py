@@ -207,6 +207,20 @@ def test_shared_substrings_meet_within_their_pair(spark):
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_prefix_anchors_of_long_repeats(spark, tmp_path):
+    """Two records of one letter have as many runs as diagonals and a hundred times as many meetings, none of which is a row."""
+    from sedgeline.plans.registry import queries
+
+    rows = [(1, "x", "A" * 900 + "C" + "GT" * 300), (2, "y", "A" * 700 + "T" + "GT" * 200)]
+    spark.createDataFrame(rows, "entry_id long, name string, sequence string").selectExpr("*", "'r' as run", "0L as pos", "'' as comment", "'' as quality", "'' as tid", "1 as num_duplicates").write.parquet(f"{tmp_path}/fasta_entry.parquet")
+    spark.createDataFrame([(5, "x", "y", 0, 0, 5, 1)], "anchor_id long, seq_1 string, seq_2 string, start_1 int, start_2 int, length int, score int").write.parquet(f"{tmp_path}/anchor.parquet")
+    found = queries()["w10_a04_prefix_anchors"](spark, str(tmp_path))
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    kept = sorted(map(tuple, found.collect()))
+    assert kept[0] == (5, 0, 0, 700) and kept[-1][1] + kept[-1][3] <= 1501
+    assert all(b[1] >= a[1] + a[3] for a, b in zip(kept, kept[1:], strict=False)) and sum(k[3] for k in kept) >= 1100
+
+
 def test_band_keeps_the_best_path():
     x, y = "ACGTTGCAACGGTATTACGACGGATCCA", "ACGTTGCACGGTATTACGACGATCCA"
     model = kernel.model_at(0.1)
