@@ -243,9 +243,8 @@ def a08_a10_k18_posteriors(spark: SparkSession, d: str) -> DataFrame:
     a, b = e.select(F.col("name").alias("seq_1"), F.col("seq").alias("x")), e.select(F.col("name").alias("seq_2"), F.col("seq").alias("y"))
     rows = spark.read.parquet(f"{d}/anchor.parquet").where("plus_1 and plus_2 and length > 0 and start_1 >= 0 and start_2 >= 0").join(a, "seq_1").join(b, "seq_2")
     cut = rows.select("anchor_id", F.expr("substring(x, start_1 + 1, length)").alias("a"), F.expr("substring(y, start_2 + 1, length)").alias("b"))
-    p = op.posterior_rows(cut, "anchor_id")
-    per = p.groupBy("anchor_id", "i").agg(F.sum("p").alias("p"), F.max(F.abs(F.col("forward") - F.col("backward"))).alias("off"))
-    return per.groupBy("anchor_id").agg((F.max("off") < 1e-6).alias("totals_agree"), (F.max("p") < 1 + 1e-6).alias("at_most_one"))
+    p = op.posterior_sums(cut, "anchor_id")
+    return p.select("anchor_id", (F.abs(F.col("forward") - F.col("backward")) < 1e-6).alias("totals_agree"), (F.col("most") < 1 + 1e-6).alias("at_most_one"))
 
 
 @query(f"""WITH {_MERGED}, {REFERENCES}, t AS (SELECT DISTINCT t.name AS node FROM tree_node t JOIN ref USING (name) WHERE seq <> '' AND node_id NOT IN (SELECT parent_id FROM tree_node WHERE parent_id IS NOT NULL)),

@@ -113,3 +113,26 @@ def test_empty_sequences():
     end = k.Matrices(k.linear(""), k.linear("ACG"), MODEL)
     assert [m for m, _, _ in end.path()[0]] == ["Y", "Y", "Y"]
     assert k.Matrices(k.linear(""), k.linear(""), MODEL).path()[0] == []
+
+
+@pytest.mark.parametrize("n, m, spread", [(1, 1, 1e9), (1, 9, 1e9), (7, 5, 1e9), (7, 5, 0), (70, 66, 1e9), (70, 66, 0)])
+def test_posteriors_of_many_chains(monkeypatch, n, m, spread):
+    """As the passes of one pair give them, as numbers and as logs."""
+    monkeypatch.setattr(k, "_RANGE", spread)
+    rng = np.random.default_rng(n + m)
+    a, b = (rng.integers(0, 15, (4, size)) for size in (n, m))
+    b[0, : min(n, m)] = a[0, : min(n, m)]
+    paired, forward, backward = k.chain_posteriors(a, b, MODEL)
+    for row in range(2 if n > 9 else 4):
+        x, y = (k.linear("".join("ACGTRYMKWSBDHVN"[c] for c in v[row])) for v in (a, b))
+        x.states, y.states = a[row], b[row]
+        p, ahead, back = k.posteriors(x, y, MODEL)
+        assert paired[row] == pytest.approx(p, abs=1e-9) and (forward[row], backward[row]) == pytest.approx((ahead, back), abs=1e-8)
+
+
+def test_posteriors_of_long_chains_keep_their_totals():
+    """Sizes beyond what a row of numbers can hold, which took a Python step a cell."""
+    rng = np.random.default_rng(2)
+    for n, m in ((3, 4000), (900, 800)):
+        paired, forward, backward = k.chain_posteriors(rng.integers(0, 4, (1, n)), rng.integers(0, 4, (1, m)), MODEL)
+        assert np.isfinite(forward).all() and forward == pytest.approx(backward, abs=1e-6) and paired.sum(axis=2).max() < 1 + 1e-6
