@@ -136,3 +136,27 @@ def test_posteriors_of_long_chains_keep_their_totals():
     for n, m in ((3, 4000), (900, 800)):
         paired, forward, backward = k.chain_posteriors(rng.integers(0, 4, (1, n)), rng.integers(0, 4, (1, m)), MODEL)
         assert np.isfinite(forward).all() and forward == pytest.approx(backward, abs=1e-6) and paired.sum(axis=2).max() < 1 + 1e-6
+
+
+def test_paths_of_many_chains(monkeypatch):
+    """The paths and scores of single pairs, whatever the sizes that are aligned together, for random and for related chains and for ties."""
+    rng = np.random.default_rng(11)
+    alone = k.chain_path
+    chains = []
+    for size in [0, 1, 1, 2, 3, 5, 8, 13, 40, 41, 60, 90] * 6:
+        a = rng.integers(0, rng.choice([2, 4, 15]), size)
+        keep = rng.random(size) < 0.9
+        b = np.insert(a[keep], rng.integers(0, keep.sum() + 1), rng.integers(0, 4, rng.integers(0, 9))) if rng.random() < 0.5 else rng.integers(0, 4, rng.integers(0, 90))
+        chains += [(a, b), (b, a)]
+    expected = [alone(a, b, MODEL) for a, b in chains]
+    calls = []
+    monkeypatch.setattr(k, "chain_path", lambda *x: calls.append(1) or alone(*x))
+    found = k.chain_paths(chains, MODEL)
+    assert len(calls) < len(chains) / 2
+    for (a, b), (path, score), (steps, best) in zip(chains, found, expected, strict=True):
+        i, j = k.sites_of(path)
+        assert [("MXY"[p], x, y) for p, x, y in zip(path, i, j, strict=True)] == steps and score == pytest.approx(best, abs=1e-9)
+        if steps:
+            x, y = k.linear(""), k.linear("")
+            x.states, y.states = a, b
+            assert k.chain_score(path, a, b, MODEL) == pytest.approx(k.path_score(steps, x, y, MODEL), abs=1e-9) == pytest.approx(score, abs=1e-8)
