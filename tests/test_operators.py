@@ -246,6 +246,32 @@ def test_hits_on_nodes_without_letters_take_no_place(spark):
     assert [(r["query"], r["node"], r["verdict"]) for r in placements(hits, queries, targets).collect()] == [("q", "a", "placed")]
 
 
+def test_placements_align_together(spark):
+    """Pairs are aligned many at a time, with the results of one at a time: sizes that differ, turned queries, letters that are no bases, and a pair too long for the whole matrix."""
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("ACGTRN"), n, p=[0.24, 0.24, 0.24, 0.24, 0.02, 0.02]))
+    targets = [(f"t{k}", word(int(rng.integers(1, 120)))) for k in range(12)] + [("long", word(1200))]
+    queries = [(f"q{k}", ("EFZ" if k % 5 == 0 else "") + targets[k % 13][1][3:] + word(int(rng.integers(1, 40)))) for k in range(40)]
+    hit = [(q, t, int(rng.integers(1, 99)), 0, 9, 0, 9, "+", "+-"[k % 2]) for k, (q, _) in enumerate(queries) for t in {targets[k % 13][0], targets[3 * k % 12][0]}]
+    hits = spark.createDataFrame(hit, "query string, node string, score int, q_start int, q_end int, t_start int, t_end int, q_strand string, t_strand string")
+    names = "name string, seq string"
+    found = placements(hits, spark.createDataFrame(queries, names), spark.createDataFrame(targets, names)).coalesce(1).collect()
+    q, t, model = dict(queries), dict(targets), kernel.model_at(0.101)
+    turned = lambda s: s.translate(str.maketrans("ACGTRYKMBVDH", "TGCAYRMKVBHD"))[::-1]
+    best = {}
+    for query, node, *_, there in hit:
+        x, y = turned(q[query]) if there == "-" else q[query], t[node]
+        on = [(i, j) for mat, i, j in an.aligned(x, y, model)[0] if mat == "M"]
+        a, b = kernel.linear(x).states, kernel.linear(y).states
+        score = sum(model.scores[a[i - 1], b[j - 1]] for i, j in on)
+        same = sum(x[i - 1] == y[j - 1] for i, j in on)
+        best.setdefault(query, []).append((round(score / model.scores[a, a].sum(), 9), node, round(score, 6), len(on) / len(x), same / max(len(on), 1)))
+    expected = {(k, r[1]): r for k, v in best.items() for r in v if r[0] == max(v)[0]}
+    assert {(r["query"], r["node"]) for r in found} == set(expected)
+    for r in found:
+        assert (r["normalised"], r["score"], r["overlap"], r["identity"]) == pytest.approx((expected[r["query"], r["node"]][0], *expected[r["query"], r["node"]][2:]), abs=1e-6)
+
+
 def test_pileup(spark):
     reads = spark.createDataFrame([(1, 0, "ACGGTTACGATTACC"), (1, 1, "ACGGTACGATTACC"), (1, 2, "GGTAATCGTAACCGT"), (1, 3, "CCCCCCCCCCCC"), (2, 0, "AC"), (None, 1, "AC")], "g int, o int, s string")
     rows = {(r["g"], r["o"]): r for r in pileup(reads, "g", "o", "s").collect()}
