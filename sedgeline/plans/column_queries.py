@@ -168,10 +168,10 @@ _SHARED = f"""WITH {RECORDS}, e AS (SELECT name, min(seq) AS seq FROM rec GROUP
     found AS (SELECT anchor_id, min(p1) - 1 AS start_1, min(p2) - 1 AS start_2, max(p1) - min(p1) + 12 AS length FROM m GROUP BY anchor_id, p1 - p2, g)"""
 
 
-def _substrings(spark: SparkSession, d: str) -> DataFrame:
+def _substrings(spark: SparkSession, d: str, choose=None) -> DataFrame:
     e = records(spark, d).groupBy("name").agg(F.min("seq").alias("seq"))
     a, b = e.select(F.col("name").alias("seq_1"), F.col("seq").alias("a")), e.select(F.col("name").alias("seq_2"), F.col("seq").alias("b"))
-    return an.shared_substrings(anchors(spark, d).select("anchor_id", "seq_1", "seq_2").join(a, "seq_1").join(b, "seq_2"), "anchor_id", "a", "b", 12)
+    return an.shared_substrings(anchors(spark, d).select("anchor_id", "seq_1", "seq_2").join(a, "seq_1").join(b, "seq_2"), "anchor_id", "a", "b", 12, choose)
 
 
 @query(f"{_SHARED} SELECT * FROM found")
@@ -215,7 +215,7 @@ _BLOCKS = _CHAIN + """, ends AS (SELECT seq_1, seq_2, start_1 AS x1, start_2 AS
 @query(_GREEDY)
 def w10_a04_prefix_anchors(spark: SparkSession, d: str) -> DataFrame:
     """The substrings that each pair keeps after the greedy choice of non-overlapping ones."""
-    return an.greedy_non_overlapping(_substrings(spark, d), ["anchor_id"]).select("anchor_id", "start_1", "start_2", "length")
+    return _substrings(spark, d, an.longest_apart)
 
 
 def _chain(spark: SparkSession, d: str) -> DataFrame:

@@ -221,6 +221,30 @@ def test_prefix_anchors_of_long_repeats(spark, tmp_path):
     assert all(b[1] >= a[1] + a[3] for a, b in zip(kept, kept[1:], strict=False)) and sum(k[3] for k in kept) >= 1100
 
 
+def test_prefix_anchors_are_chosen_where_they_are_found(spark, tmp_path):
+    """Repeats, keys that are null or there twice, and pairs without a run, against the query's SQL; a run that isn't kept is no row."""
+    duckdb = pytest.importorskip("duckdb")
+    from sedgeline.plans.registry import oracle_sql, queries
+
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(rng.choice(list("ACGT"), n))
+    core, other = word(40), word(25)
+    seqs = ["A" * 60 + "CGT" * 9, "A" * 45, core + "C" + other, other + core[:30] + "G" + core, "GT" * 30 + core, "GT" * 20, word(11), "ACG" * 15 + other]
+    rows = [(k, chr(97 + k), s) for k, s in enumerate(seqs)]
+    spark.createDataFrame(rows, "entry_id long, name string, sequence string").selectExpr("*", "'r' as run", "0L as pos", "'' as comment", "'' as quality", "'' as tid", "1 as num_duplicates").write.parquet(f"{tmp_path}/fasta_entry.parquet")
+    pairs = [(1, "a", "b"), (2, "c", "d"), (3, "e", "f"), (4, "a", "g"), (5, "d", "e"), (5, "c", "h"), (5, "a", "h"), (None, "a", "b"), (6, "d", "d"), (7, "a", "a"), (8, "h", "a"), (9, "a", "none")]
+    spark.createDataFrame(pairs, "anchor_id long, seq_1 string, seq_2 string").write.parquet(f"{tmp_path}/anchor.parquet")
+    found = queries()["w10_a04_prefix_anchors"](spark, str(tmp_path))
+    assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    con = duckdb.connect()
+    for t in ("fasta_entry", "anchor"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    columns = "anchor_id, start_1, start_2, length"
+    expected = con.execute(f"SELECT {columns} FROM ({oracle_sql()['w10_a04_prefix_anchors']})").fetchall()
+    assert {r[0] for r in expected} == {1, 2, 3, 5, 6, 7} and sorted(map(tuple, found.select(*columns.split(", ")).collect())) == sorted(expected)
+    assert found.count() < queries()["j10_shared_substrings"](spark, str(tmp_path)).count() / 3
+
+
 def test_band_keeps_the_best_path():
     x, y = "ACGTTGCAACGGTATTACGACGGATCCA", "ACGTTGCACGGTATTACGACGATCCA"
     model = kernel.model_at(0.1)
